@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_ids, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -45,3 +45,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     pairs = e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return pairs.unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
+
+
+def across(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a bucket (key, id, its least id a) but no component, beside those tried already."""
+    named = join_ids(buckets, comps, "id", "left").select("key", "id", "a", F.coalesce("comp", "id").alias("comp"))
+    named = named.selectExpr("*", "min(comp) over (partition by key) as low", "max(comp) over (partition by key) as high").where("low <> high")
+    named = stored(named.select("key", "id", "a", "comp", F.expr("min_by(comp, id) over (partition by key)").alias("lead")), "split")
+    odd = named.where("comp <> lead").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("a").alias("least"))
+    rest = named.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
+    return odd.join(rest, "key").where("cx <> cy and y <> least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import join_ids, stored
-from .graph import components
+from .graph import across, components
 
 #: Word n-gram length of shingles, signature length, rows of a band, least Jaccard similarity.
 NGRAM, COORDS, ROWS, THRESHOLD = 3, 128, 4, 0.6
@@ -118,12 +118,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = stored(buckets.where("a <> z").select("key", "id", "a"), "buckets")
     stars = _verified(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, kind, threshold)
     comps = stored(components(stars), "comps")
-    named = join_ids(buckets, comps, "id", "left").select("key", "id", "a", F.coalesce("comp", "id").alias("comp"))
-    named = named.selectExpr("*", "min(comp) over (partition by key) as low", "max(comp) over (partition by key) as high").where("low <> high")
-    named = stored(named.select("key", "id", "a", "comp", F.expr("min_by(comp, id) over (partition by key)").alias("lead")), "split")
-    odd, rest = named.where("comp <> lead").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), "a"), named.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    cross = odd.join(rest, "key").where("cx <> cy and y <> a").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(cross, texts, kind, threshold)
+    more = _verified(across(buckets, comps), texts, kind, threshold)
     return stored(components(copies.unionAll(stars).unionAll(more)), "groups")
 
 
