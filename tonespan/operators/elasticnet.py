@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Least squared change of a cycle, and cycles at most.
-TOLERANCE, ROUNDS = 1e-8, 500
+TOLERANCE, ROUNDS = 1e-14, 2000
 
 
 @dataclass
@@ -50,13 +50,12 @@ def _descend(gram: np.ndarray, corr: np.ndarray, b: np.ndarray, l1: np.ndarray,
         return worst
 
     for _ in range(ROUNDS):
-        if cycle(usable) < TOLERANCE:
-            break
+        worst = cycle(usable)
         active = [j for j in usable if b[j] != 0]
-        for _ in range(ROUNDS):
+        for _ in range(10):
             if cycle(active) < TOLERANCE:
                 break
-        if _exact(gram, corr, b, l1, l2, usable):
+        if _exact(gram, corr, b, l1, l2, usable) or worst < TOLERANCE:
             break
         grad[:] = corr - gram @ b
     return b
