@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with FTRL-proximal.
 
 A document's features are its words and pairs of neighbouring words (runs of
-punctuation are words), hashed to 2**20 weights.  Feature values are counts
+punctuation are words), hashed to 2**20 weights; all pairs of a word with
+itself are one feature, as stuttering is alike whatever the word.  Feature values are counts
 over the square root of the number of n-grams, so a score is one gather and
 one segmented sum over the document's n-grams.
 """
@@ -44,7 +45,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = np.zeros(len(words), bool)
     last[docs[1:][count > 0] - 1] = True
     if len(words) > 1:
-        two = K.mix64(words[:-1] * K.GRAM[0] + words[1:] * K.GRAM[1]) >> shift
+        two = K.mix64(np.where(words[:-1] == words[1:], np.uint64(0), words[:-1] * K.GRAM[0] + words[1:] * K.GRAM[1])) >> shift
         first = ~last[:-1]
         buckets[(place + np.repeat(count, count))[:-1][first]] = two[first]
     return buckets, out
@@ -104,13 +105,14 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Trains in one task on at most ``sample`` labelled documents, a bound that doesn't grow with the corpus.
 
-    Null labels are ignored; an id with several labels takes the least.  Without labelled documents all weights are 0,
+    Null labels, ids and texts are ignored; an id with several labels takes the least, an id with several texts gives an example for each.  Without labelled documents all weights are 0,
     so that every text with a word scores 0.5 and is kept.
     """
     ship(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("double").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), "__label", "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "__id")
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("__id"), "__id", F.xxhash64("text")).select("text", "__label")
     got = rows.mapInArrow(_trainer, "at binary, weights binary, bias double").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
