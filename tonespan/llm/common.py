@@ -54,5 +54,13 @@ def join_ids(left: DataFrame, ids: DataFrame, on: list[str] | str, how: str, row
     return left.join(F.broadcast(ids) if small(ids, row_bytes) else ids, on, how)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    name, have = f"__{name}", {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def id_type(df: DataFrame, col: str) -> str:
     return dict(df.dtypes)[col]

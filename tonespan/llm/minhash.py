@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import join_ids, stored
+from .common import join_ids, stored, unused
 from .graph import across, components
 
 #: Word n-gram length of shingles, signature length, rows of a band, least Jaccard similarity.
-NGRAM, COORDS, ROWS, THRESHOLD = 3, 128, 4, 0.6
+NGRAM, COORDS, ROWS, THRESHOLD = 3, 160, 4, 0.5
 UNIVERSE_BITS = 20
 
 _tables: dict[int, np.ndarray] = {}
@@ -132,10 +132,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one document of each group of near copies, that of the least id; all columns stay.
 
     If an id repeats, only one of its rows stays: the least by a hash of the text.
-    Rows with a null id or text, and texts without words, stay.
+    Rows with a null id or text, and texts without words, stay; columns of any name pass through; an empty table stays empty.
     """
-    from pyspark.sql import Window
-
     groups = duplicate_groups(docs, id_col, text_col, threshold)
     gone = stored(groups.where("id <> comp").select(F.col("id").alias("__gone")), "gone")
     kept = join_ids(docs, gone, docs[id_col] == gone["__gone"], "left_anti")  # type: ignore[arg-type]
@@ -146,4 +144,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once = join_ids(kept, again, same, "left_anti")  # type: ignore[arg-type]
     more = join_ids(kept, again, same, "left_semi")  # type: ignore[arg-type]
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    return once.unionByName(more.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank"))
+    rank = unused(docs, "rank")
+    return once.unionByName(more.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank))
