@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from . import kernels as K
@@ -168,6 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"
 
     def scan(shared) -> Callable:  # noqa: ANN001
@@ -177,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 for a, b in K.text_chunks(batch.column(1)):
                     row, seg, edits = search(ix, batch.column(1).slice(a, b - a))
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(ix.item[seg].tolist(), type=_arrow(kinds[1])), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(ix.item[seg].tolist(), type=item_type), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
 
         return run
 
@@ -187,12 +189,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that hold a segment of an item.  One pass over the rows, no shuffle; a null text stays."""
+    """docs without those that hold a segment of an item.  One pass over the rows, no shuffle.
+
+    Null and empty texts and null ids stay; repeated rows are judged alike; without items, or documents, nothing changes;
+    columns of any name pass through.
+    """
     at = docs.columns.index(text_col)
 
     def clean(shared) -> Callable:  # noqa: ANN001

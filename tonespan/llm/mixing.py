@@ -69,12 +69,12 @@ def positions(docs: DataFrame, schedule: DataFrame | None = None, knots: tuple[f
 def mixed(docs: DataFrame, schedule: DataFrame | None = None, **columns: str) -> DataFrame:
     """docs in the order in which training reads them, without those beyond their source's demand; all columns stay.
 
-    Rows that repeat an id all take the place of the first of them.
+    Rows that repeat an id all take the place of the first of them; rows with a null id go; columns of any name pass through.
     """
     id_col = columns.get("id_col", "doc_id")
     place = stored(positions(docs, schedule, **columns).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position")), "positions")
     both = join_ids(docs, place, docs[id_col] == place["__id"], "inner", 96)  # type: ignore[arg-type]
-    return both.orderBy("__position", "__id").select(*(docs[c] for c in docs.columns))
+    return both.orderBy(place["__position"], place["__id"]).select(*(docs[c] for c in docs.columns))
 
 
 #: The same in DuckDB's SQL, over `documents`.
