@@ -81,12 +81,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors are near if their cosine is at least ``threshold``; groups are connected components.  Only vectors of the
     table's most frequent dimension take part; null ids and vectors, vectors with nulls or without a direction
-    (all 0, not finite) have no near ones.  Rows that repeat an id count as one.  An empty table gives no rows.
+    (all 0, not finite) have no near ones.  Of rows that repeat an id the least vector counts.  Other columns aren't read.  An empty table gives no rows.
     In each bucket all members are compared with the least one, and members that end in different groups with each other.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     kind = dict(rows.dtypes)["id"]
-    size = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "dim").first()
+    size = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     empty = vectors.sparkSession.createDataFrame([], f"group_id {kind}, vec_ids array<{kind}>, n_vecs bigint")
     if size is None or not size.dim:
         return empty
@@ -110,7 +110,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 ["id", "bands", "bits", "factor", "q", "low", "step"],
             )
 
-    codes = stored(rows.mapInArrow(code, f"id {kind}, bands array<bigint>, bits binary, factor double, q binary, low double, step double").dropDuplicates(["id"]), "codes")
+    # of rows that repeat an id the least vector counts, so that a task that is run again makes the same choice
+    whole = stored(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    codes = stored(whole.mapInArrow(code, f"id {kind}, bands array<bigint>, bits binary, factor double, q binary, low double, step double"), "codes")
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +128,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             (x, _), (y, _) = unit(batch.column(2), dim), unit(batch.column(3), dim)
             yield batch.filter(pa.array((x * y).sum(axis=1) >= threshold)).select([0, 1])
 
-    whole = stored(rows.where(F.size("v") == dim).dropDuplicates(["id"]), "vectors")
-
     def verified(edges: DataFrame) -> DataFrame:
         both = edges.join(codes.selectExpr("id as a", "bits", "factor"), "a").join(codes.selectExpr("id as b", "q", "low", "step"), "b")
         left = stored(both.select("a", "b", "bits", "factor", "q", "low", "step").mapInArrow(promising, f"a {kind}, b {kind}"), "uncertain")
