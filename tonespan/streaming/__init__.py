@@ -13,17 +13,20 @@ from ..operators.scoring import sentiment
 
 
 def scored_stream(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], how: str = "proportional", watermark: str = "30 days") -> DataFrame:
-    """Sentiment of a streaming corpus; of documents with the same id within the watermark the first counts.  Weights by word frequency need all documents and aren't offered."""
+    """Sentiment of a streaming corpus, its date a timestamp under the watermark; of documents with the same id within the watermark the first counts.
+
+    Weights by word frequency need all documents and aren't offered.
+    """
     if how == "TFIDF":
         raise ValueError("TFIDF needs the whole corpus")
-    seen = corpus.withColumn("__ts", F.col("date").cast("timestamp")).withWatermark("__ts", watermark).dropDuplicatesWithinWatermark(["id"])
-    return sentiment(seen.drop("__ts"), lexicons, how)
+    once = corpus.withColumn("date", F.col("date").cast("timestamp")).withWatermark("date", watermark).dropDuplicatesWithinWatermark(["id"])
+    return sentiment(once, lexicons, how)
 
 
-def sums_by_period(scored: DataFrame, window: str = "1 day", watermark: str = "30 days") -> DataFrame:
-    """Mean score and documents by window, lexicon and feature, zeros left out; windows close as the watermark passes."""
-    rows = scored.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", watermark).where("score <> 0")
-    return rows.groupBy(F.window("ts", window).alias("w"), "lexicon", "feature").agg(F.avg("score").alias("value"), F.count("*").alias("documents")).select(F.col("w.start").cast("date").alias("date"), "lexicon", "feature", "value", "documents")
+def sums_by_period(scored: DataFrame, window: str = "1 day") -> DataFrame:
+    """Mean score and documents by window, lexicon and feature, zeros left out; a window is given out once the watermark has passed it (mode append)."""
+    rows = scored.where("score <> 0").groupBy(F.window("date", window).alias("w"), "lexicon", "feature").agg(F.avg("score").alias("value"), F.count("*").alias("documents"))
+    return rows.select(F.col("w.start").cast("date").alias("date"), "lexicon", "feature", "value", "documents")
 
 
 def store_new(corpus: DataFrame, lexicons: Lexicons, path: str, checkpoint: str, how: str = "proportional") -> StreamingQuery:
