@@ -170,8 +170,7 @@ def test_periods(spark):
 
 @pytest.fixture(scope="module")
 def made(spark):
-    m = P.aggregate(A.as_sentiment(B.events(spark, SF)), B.CONTROL)
-    return P.Measures(m.panel.persist(), m.sentiment, m.control)
+    return P.aggregate(A.as_sentiment(B.events(spark, SF)), B.CONTROL).keep()
 
 
 def test_shape(made):

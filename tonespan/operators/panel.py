@@ -203,6 +203,10 @@ class Measures:
     def with_panel(self, panel: DataFrame) -> Measures:
         return replace(self, panel=panel)
 
+    def keep(self) -> Measures:
+        """Caches the panel when it is first made: it is small, and steps that read it several times then don't score the texts again."""
+        return self.with_panel(self.panel.persist())
+
     def dates(self) -> DataFrame:
         return self.panel.select("date").distinct()
 
