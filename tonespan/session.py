@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,16 +12,31 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return at.rstrip("/") if at else None
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package's source to the executors once per Spark application."""
+    """Sends the package's source to the executors once per Spark application, from the shared folder if there is one."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="ship-")
-    path = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(path)
+    shared = checkpoint_dir(spark)
+    if shared:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/ship-{sc.applicationId}/{root.name}.zip")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(path.toString())
+    else:
+        local = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
+        local.write_bytes(data.getvalue())
+        sc.addPyFile(str(local))
     _shipped.add(sc.applicationId)
