@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoint_dir, ship
 
 #: Bytes that a broadcast side may take (estimated); beyond it a shuffled join does the same.
 BROADCAST_BYTES = 64 << 20
@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = checkpoint_dir(spark)
     if at:
-        return at.rstrip("/")
+        return at
     if "dir" not in _local:
         _local["dir"] = "file://" + tempfile.mkdtemp(prefix="tonespan-")
     return _local["dir"]
