@@ -26,8 +26,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order; those beyond their source's demand go."""
-    return mixing.mixed(docs)
+    """All documents that have tokens, in training order."""
+    return mixing.mixed(docs, mixing.whole_schedule)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

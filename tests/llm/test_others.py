@@ -66,6 +66,18 @@ def test_mixed_is_in_order_of_positions(spark):
     assert order == sorted(order) and len(order) == len(place)
 
 
+def test_the_mixing_stage_keeps_every_document(spark):
+    rng = random.Random(8)
+    sizes = {"hot": 400, "b": 60, "c": 30, "tiny": 1, None: 1}
+    rows = [(i, "w " * rng.randrange(1, 40), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = frame(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, SF).collect()) == [i for i, *_ in rows]
+    place = mixing.positions(docs, mixing.whole_schedule).toPandas()
+    assert len(place) == len(rows) and place.position.between(0, 1).all()
+    for (s, early), total in zip(((s, place[(place.source == s) & (place.position < 0.5)].n_tokens.sum()) for s in ("hot", "c")), (place[place.source == s].n_tokens.sum() for s in ("hot", "c"))):
+        assert early > 0.5 * total if s == "hot" else early < 0.5 * total
+
+
 # --- token counts and store
 
 ODD = ["", None, "it's we're I'LL 'tis ''s", "a  b\n\n c\t\td   ", "naïve 日本語 😀😀 é", "x y  z", "1234 5,678.9", "don't'll", "'", " '", "a'", "<|endoftext|>", "é" * 3000, "word " * 30_000]

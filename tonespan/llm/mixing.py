@@ -9,6 +9,8 @@ falls short of, so shares hold at every time and no document repeats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,26 @@ def default_schedule(supply: DataFrame, knots: tuple[float, ...] = KNOTS, powers
     return supply.select("src", *(F.when(F.col("supply") > 0, F.pow(F.col("supply").cast("double"), F.lit(p))).otherwise(0.0).alias(f"w{k}") for k, p in enumerate(powers)))
 
 
-def positions(docs: DataFrame, schedule: DataFrame | None = None, knots: tuple[float, ...] = KNOTS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def whole_schedule(supply: DataFrame, knots: tuple[float, ...] = KNOTS) -> DataFrame:
+    """(src, w0, w1, ...) from (src, supply): shares that use up every source at t = 1, for knots from 0 to 1.
+
+    A source's share is natural on average and moves linearly: large sources go from more to less, small ones from
+    less to more.  The shift is bounded by the source's own share, so no source changes the room of another.
+    """
+    everyone = Window.partitionBy()
+    p = supply.where("supply > 0").select("src", F.col("supply").cast("double").alias("supply"), (F.col("supply") / F.sum("supply").over(everyone)).alias("p"))
+    p = p.withColumn("flat", F.sqrt("p") / F.sum(F.sqrt("p")).over(everyone))
+    late = p.withColumn("late", F.col("flat") / (F.col("flat") + F.col("p")))
+    late = late.withColumn("shift", F.sum(F.col("p") * F.col("late")).over(everyone) - F.col("late"))
+    return late.select("src", *((F.col("supply") * (1 + F.col("shift") * (1 - 2 * t))).alias(f"w{k}") for k, t in enumerate(knots)))
+
+
+def positions(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] | None = None, knots: tuple[float, ...] = KNOTS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, n_tokens, position) of the documents that are read, position in [0, 1].
 
     ``schedule`` has src and a weight w0, w1, ... for each knot (not negative; they are normalised at each knot);
-    a source without one has weight 0.  Tokens are runs of visible characters.
+    a source without one has weight 0.  It may be a function of (src, supply) and the knots, too: ``default_schedule``
+    drops what is beyond a source's demand, ``whole_schedule`` places every document of each source with tokens.  Tokens are runs of visible characters.
     A null source counts as ''; null and empty texts have no tokens and take no room; rows with a null id go;
     repeated rows are placed one after the other.  Empty tables give no rows.
     """
@@ -41,7 +58,7 @@ def positions(docs: DataFrame, schedule: DataFrame | None = None, knots: tuple[f
     rows = stored(rows.withColumn("h", F.expr(f"pmod(pmod(doc_id, {_MOD}) * 1103515245 + 12345, {_MOD})")).withColumn("part", F.expr(f"cast(h div {_MOD // PARTS} as int)")), "tokens")
     sums = stored(rows.groupBy("src", "part").agg(F.sum("n").alias("total")), "sums")
     supply = sums.groupBy("src").agg(F.sum("total").alias("supply"))
-    weights = schedule if schedule is not None else default_schedule(supply, knots)
+    weights = schedule if isinstance(schedule, DataFrame) else (schedule or default_schedule)(supply, knots=knots)
     m = len(knots)
     joined = supply.join(weights, "src").select("src", "supply", *(F.col(f"w{k}").cast("double").alias(f"w{k}") for k in range(m)))
     everyone = Window.partitionBy()
@@ -66,7 +83,7 @@ def positions(docs: DataFrame, schedule: DataFrame | None = None, knots: tuple[f
     return placed.select("doc_id", F.col("src").alias("source"), F.col("n").alias("n_tokens"), F.round(at, 6).alias("position"))
 
 
-def mixed(docs: DataFrame, schedule: DataFrame | None = None, **columns: str) -> DataFrame:
+def mixed(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] | None = None, **columns: str) -> DataFrame:
     """docs in the order in which training reads them, without those beyond their source's demand; all columns stay.
 
     Rows that repeat an id all take the place of the first of them; rows with a null id go; columns of any name pass through.
