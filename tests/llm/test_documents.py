@@ -267,3 +267,15 @@ def test_passages_edges(spark):
     got = passages.repeated_passages(frame(spark, rows)).collect()
     assert {r.doc_id for r in got} == {2, 3, 7, 8} and {r.other_doc_id for r in got} <= {1, 2, 3, 7}
     assert passages.repeated_passages(frame(spark, rows).where("false")).count() == 0
+
+
+def test_passages_whose_least_document_holds_parts_only(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(30):  # two documents share 52 words, two of lower ids quote 30 of them each
+        p, at = words(rng, 52, 10**6), 10 * k
+        for i, part in enumerate((p[:30], p[22:], p, p)):
+            rows.append((at + i, " ".join(words(rng, 40, 10**6) + part + words(rng, 40, 10**6))))
+        want.add((at + 3, at + 2))
+    got = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want), sorted(want - got)
