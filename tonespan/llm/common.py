@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local["dir"]
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -41,7 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by :func:`stored` that nothing reads any more."""
+    fs, path = filesystem(df.stored_at)  # type: ignore[attr-defined]
+    fs.delete_dir(path)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

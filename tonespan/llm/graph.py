@@ -47,11 +47,20 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def bucketed(keyed: DataFrame) -> DataFrame:
+    """(key, id, a) of the buckets (key, id) with two ids or more, a the least one; stored.
+
+    The least and greatest ids are combined map-side; the join's hot keys can be split between tasks.
+    """
+    ends = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    return stored(keyed.join(ends, "key").select("key", "id", "a"), "buckets")
+
+
 def across(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a bucket (key, id, its least id a) but no component, beside those tried already."""
-    named = join_ids(buckets, comps, "id", "left").select("key", "id", "a", F.coalesce("comp", "id").alias("comp"))
-    named = named.selectExpr("*", "min(comp) over (partition by key) as low", "max(comp) over (partition by key) as high").where("low <> high")
-    named = stored(named.select("key", "id", "a", "comp", F.expr("min_by(comp, id) over (partition by key)").alias("lead")), "split")
+    named = stored(join_ids(buckets, comps, "id", "left").select("key", "id", "a", F.coalesce("comp", "id").alias("comp")), "named")
+    split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("lead")).where("low <> high").select("key", "lead")
+    named = stored(named.join(split, "key"), "split")
     odd = named.where("comp <> lead").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("a").alias("least"))
     rest = named.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
     return odd.join(rest, "key").where("cx <> cy and y <> least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

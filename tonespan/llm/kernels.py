@@ -24,11 +24,22 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-#: Byte classes: 0 separates, 1 belongs to words (ASCII letters and digits and all bytes of non-ASCII characters), 2 other visible characters.
+#: Byte classes: 0 separates, 1 belongs to words (ASCII letters and digits, bytes of non-ASCII characters unless :func:`classes` says else), 2 other visible characters.
 BYTE_CLASS = np.full(256, 2, np.uint8)
 BYTE_CLASS[[0x20, *range(0x00, 0x20), 0x7F]] = 0
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     BYTE_CLASS[_a:_b] = 1
+#: First bytes of characters that need a look at the character: spaces, punctuation, scripts written without spaces.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE0, 0xE1, 0xE2, 0xE3, *range(0xE4, 0xEA), 0xEF, 0xF0]] = True
+#: (first, last code point, class); class 3 is a word of one character: Thai to Myanmar, Khmer, kana, ideographs.
+_RANGES = (
+    (0x80, 0xA0, 0), (0xA1, 0xA9, 2), (0xAB, 0xB4, 2), (0xB6, 0xB9, 2), (0xBB, 0xBF, 2), (0x0E00, 0x0EFF, 3), (0x1000, 0x109F, 3), (0x1680, 0x1680, 0), (0x1780, 0x17FF, 3),
+    (0x2000, 0x200B, 0), (0x200E, 0x2027, 2), (0x2028, 0x2029, 0), (0x202A, 0x202E, 2), (0x202F, 0x202F, 0), (0x2030, 0x205E, 2), (0x205F, 0x2064, 0), (0x2190, 0x2BFF, 2),
+    (0x3000, 0x3000, 0), (0x3001, 0x3004, 2), (0x3005, 0x3007, 3), (0x3008, 0x3020, 2), (0x3030, 0x3030, 2), (0x303D, 0x303F, 2), (0x3040, 0x9FFF, 3), (0xF900, 0xFAFF, 3),
+    (0xFE30, 0xFE4F, 2), (0xFEFF, 0xFEFF, 0), (0xFF01, 0xFF0F, 2), (0xFF1A, 0xFF20, 2), (0xFF3B, 0xFF40, 2), (0xFF5B, 0xFF65, 2), (0xFF66, 0xFF9D, 3), (0x1F000, 0x1FAFF, 2), (0x20000, 0x3FFFF, 3),
+)
+_LOW, _HIGH, _KIND = (np.array(x, np.int64) for x in zip(*_RANGES))
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -99,18 +110,41 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, q
 
 
+def classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte (0 separates, 1 word, 2 other visible characters) and where words of one character begin and end."""
+    cls, none = BYTE_CLASS[data], np.zeros(0, np.int64)
+    at = np.flatnonzero(_LEAD[data])
+    if not len(at):
+        return cls, none
+    lead, last = data[at].astype(np.int64), len(data) - 1
+    size = np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))
+    at, lead, size = (x[at + size <= len(data)] for x in (at, lead, size))
+    code = lead & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | (data[np.minimum(at + k, last)] & 0x3F), code)
+    row = np.searchsorted(_LOW, code, "right") - 1
+    known = (row >= 0) & (code <= _HIGH[row])
+    at, size, kind = at[known], size[known], _KIND[row[known]]
+    for k in range(4):
+        mine = k < size
+        cls[at[mine] + k] = np.where(kind[mine] == 3, 1, kind[mine])
+    own = kind == 3
+    return cls, np.concatenate([at[own], at[own] + size[own]]) if own.any() else none
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and n+1 offsets of the documents in the list of words.
 
-    A word is a longest run of word bytes; with ``punctuation``, runs of other visible bytes are words too.
+    A word is a longest run of word bytes, or one character of a script written without spaces; with ``punctuation``, runs of
+    other visible bytes are words too.  Unicode's spaces separate, its punctuation is no part of a word.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    cls = BYTE_CLASS[data]
+    cls, own = classes(data)
     change = np.empty(len(data) + 1, bool)
     change[0] = change[-1] = True
     np.not_equal(cls[1:], cls[:-1], out=change[1:-1])
-    change[offs] = True
+    change[offs] = change[own] = True
     at = np.flatnonzero(change)
     kind = cls[at[:-1]]
     want = kind > 0 if punctuation else kind == 1

@@ -1,9 +1,11 @@
 """Near-duplicate documents by circulant MinHash.
 
-One permutation scatters the shingles over a circular universe; the second is
-a fixed table of values, and coordinate k reads it shifted by k places.  A
+One permutation scatters the shingles over a universe of 2**44 circles of 2**20
+places; the second is a fixed table of values around the circle, flipped by a
+mask of each circle's own, and coordinate k reads it shifted by k places.  A
 shingle's contribution to all coordinates is then one contiguous slice of the
-table, and a signature is the element-wise minimum of such slices.
+table under one mask, and a signature is the element-wise minimum of such
+slices.  The universe doesn't fill up, however long a text is.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import kernels as K
 from .common import join_ids, stored, unused
-from .graph import across, components
+from .graph import across, bucketed, components
 
 #: Word n-gram length of shingles, signature length, rows of a band, least Jaccard similarity.
 NGRAM, COORDS, ROWS, THRESHOLD = 3, 160, 4, 0.5
-UNIVERSE_BITS = 20
+CIRCLE_BITS = 20
 
 _tables: dict[int, np.ndarray] = {}
 
@@ -29,20 +32,31 @@ _tables: dict[int, np.ndarray] = {}
 def _windows(coords: int) -> np.ndarray:
     """Row x holds the second permutation at x, x+1, ..., x+coords-1 (circular): a view, not a copy."""
     if coords not in _tables:
-        pi = np.random.Generator(np.random.PCG64(77)).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
+        size = 1 << CIRCLE_BITS
+        rng = np.random.Generator(np.random.PCG64(77))
+        pi = rng.permutation(np.arange(size, dtype=np.uint64) << np.uint64(32 - CIRCLE_BITS) | rng.integers(0, 1 << (32 - CIRCLE_BITS), size, dtype=np.uint64)).astype(np.uint32)
         _tables[coords] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: coords - 1]]), coords)
     return _tables[coords]
 
 
+def places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first permutation: each shingle's place on its circle, and the circle's mask."""
+    x = K.mix64(shingles * np.uint64(0xD6E8FEB86659FD93))
+    return (x >> np.uint64(64 - CIRCLE_BITS)).astype(np.int64), (K.mix64(x << np.uint64(CIRCLE_BITS)) >> np.uint64(32)).astype(np.uint32)
+
+
 def signatures(shingles: np.ndarray, docs: np.ndarray, coords: int = COORDS) -> np.ndarray:
     """One row of coordinates for each document; documents without shingles get the largest value throughout."""
-    sigma = (K.mix64(shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
+    at, mask = places(shingles)
     out = np.full((len(docs) - 1, coords), np.uint32(0xFFFFFFFF), np.uint32)
     win, some = _windows(coords), np.flatnonzero(np.diff(docs))
-    step = 1 << 14  # shingles gathered at once: 8 MB of slices
+    step = 1 << 12  # shingles gathered at once: 2.5 MB of slices, which stay in the cache
     for i, (a, b) in zip(some, zip(docs[some], docs[some + 1])):
         for s in range(a, b, step):
-            np.minimum(out[i], win[sigma[s : min(b, s + step)]].min(axis=0), out=out[i])
+            e = min(b, s + step)
+            values = win[at[s:e]]
+            values ^= mask[s:e, None]
+            np.minimum(out[i], values.min(axis=0), out=out[i])
     return out
 
 
@@ -109,13 +123,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     different texts count as one document with any of its texts.
     An empty table gives no rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     kind = dict(texts.dtypes)["id"]
     sketch = stored(texts.mapInArrow(_sketch, f"id {kind}, content bigint, bands array<bigint>"), "sketch")
     first = stored(sketch.groupBy("content").agg(F.min("id").alias("id"), F.min("bands").alias("bands"), F.count("*").alias("n")), "contents")
     copies = sketch.select("id", "content").join(first.where("n > 1").select("content", F.col("id").alias("a")), "content").select("a", F.col("id").alias("b")).where("a <> b")
-    buckets = first.select("id", F.explode("bands").alias("key")).selectExpr("key", "id", "min(id) over (partition by key) as a", "max(id) over (partition by key) as z")
-    buckets = stored(buckets.where("a <> z").select("key", "id", "a"), "buckets")
+    buckets = bucketed(first.select("id", F.explode("bands").alias("key")))
     stars = _verified(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, kind, threshold)
     comps = stored(components(stars), "comps")
     more = _verified(across(buckets, comps), texts, kind, threshold)
