@@ -17,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .graph import across, components
+from ..session import ship
+from . import kernels as K
+from .common import join_ids, stored
+from .graph import across, bucketed, components
 
 #: Least cosine, standard errors that an estimate may be off, wanted recall of the candidate search at the threshold.
 THRESHOLD, EPSILON, RECALL = 0.95, 4.0, 0.97
@@ -39,15 +42,22 @@ def band_plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def unit(batch: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of dim finite numbers that aren't all 0, scaled to length 1, and which rows these are."""
+def by_dimension(batch: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, vectors scaled to length 1, rows) of the rows of a batch, of those with a direction: finite numbers that aren't all 0."""
     lists = batch.cast(pa.list_(pa.float64()))
-    ok = np.array([v.is_valid and len(v.values) == dim and v.values.null_count == 0 for v in lists], bool)
-    at = np.flatnonzero(ok)
-    x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-    norm = np.sqrt((x * x).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 0)
-    return x[good] / norm[good, None], at[good]
+    valid = np.asarray(lists.is_valid())
+    offs = lists.offsets.to_numpy()
+    values, size = lists.values, np.where(valid, np.diff(offs), 0)
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # a null is read as NaN
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        x = flat[offs[at][:, None] + np.arange(dim)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = x / np.abs(x).max(axis=1)[:, None]  # so that no square leaves the range of numbers
+            norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        if good.any():
+            yield dim, x[good] / norm[good, None], at[good]
 
 
 def encode(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +66,10 @@ def encode(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.nda
     factor = np.abs(y).sum(axis=1) / math.sqrt(x.shape[1])
     low = y.min(axis=1)
     step = np.maximum((y.max(axis=1) - low) / 15, 1e-12)
-    dither = np.random.Generator(np.random.PCG64([seed, 9])).random(x.shape[1])
+    # each vector is rounded by draws of its own, made from its numbers: a task that is run again rounds alike
+    own = K.mix64(np.ascontiguousarray(x).view(np.uint64).sum(axis=1, dtype=np.uint64) + np.uint64(seed))
+    draws = K.mix64(own[:, None] + K.mix64(np.arange(1, x.shape[1] + 1, dtype=np.uint64))[None, :])
+    dither = (draws >> np.uint64(11)) * 2.0**-53
     q = np.clip(np.floor((y - low[:, None]) / step[:, None] + dither), 0, 15).astype(np.uint8)
     return np.packbits(y > 0, axis=1), factor, q, low, step
 
@@ -76,68 +89,102 @@ def margin(factor: np.ndarray, step: np.ndarray, dim: int, s: float, epsilon: fl
     return epsilon * np.sqrt(code**2 + rounding**2)
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows with one vector for each id: of those with a direction the least.  Only ids are shuffled, and the rows of ids that repeat."""
+    again = stored(rows.groupBy("id").count().where("count > 1").select("id"), "again")
+    if again.isEmpty():
+        return rows
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    directed = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & (most > 0) & (most < float("inf"))
+    some = join_ids(rows, again, "id", "left_semi").where(directed).groupBy("id").agg(F.min("v").alias("v"))
+    return join_ids(rows, again, "id", "left_anti").unionByName(some)
+
+
+def _fixed(column: pa.Array, at: np.ndarray | None = None) -> np.ndarray:
+    """Rows of a binary column whose values are equally long, as a matrix of bytes."""
+    data = b"".join((column if at is None else column.take(pa.array(at))).to_pylist())
+    return np.frombuffer(data, np.uint8).reshape(len(column) if at is None else len(at), -1)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    n, width = matrix.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each group of near vectors: group_id (its least id), sorted vec_ids, n_vecs.
 
-    Vectors are near if their cosine is at least ``threshold``; groups are connected components.  Only vectors of the
-    table's most frequent dimension take part; null ids and vectors, vectors with nulls or without a direction
-    (all 0, not finite) have no near ones.  Of rows that repeat an id the least vector counts.  Other columns aren't read.  An empty table gives no rows.
-    In each bucket all members are compared with the least one, and members that end in different groups with each other.
+    Vectors are near if they have the same dimension and their cosine is at least ``threshold``; groups are connected
+    components.  Vectors of each dimension of the table are compared among themselves.  Null ids and vectors, vectors with
+    nulls or without a direction (empty, all 0, not finite) have no near ones.  Of rows that repeat an id the least vector with a
+    direction counts.  Other columns aren't read.  An empty table gives no rows.
+    Vectors that are alike in all numbers are one in the search.  In each bucket all members are compared with the least one,
+    and members that end in different groups with each other.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
     kind = dict(rows.dtypes)["id"]
-    size = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    empty = vectors.sparkSession.createDataFrame([], f"group_id {kind}, vec_ids array<{kind}>, n_vecs bigint")
-    if size is None or not size.dim:
-        return empty
-    dim = size.dim
-    bits, bands = band_plan(size.n, threshold)
+    sizes = {r.dim: r.n for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    plans = {dim: band_plan(n, threshold) for dim, n in sizes.items()}
+    whole = _settled(rows)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, at = unit(batch.column(1), dim)
-            if not len(at):
-                continue
-            packed, factor, q, low, step = encode(x)
-            signs = [np.unpackbits(packed, axis=1)[:, :dim].astype(bool)]
-            while sum(s.shape[1] for s in signs) < bits * bands:  # further rotations give further signs
-                signs.append(x @ rotation(dim, len(signs)) > 0)
-            flat = np.concatenate(signs, axis=1)[:, : bits * bands].reshape(len(at), bands, bits)
-            keys = (flat @ (np.int64(1) << np.arange(bits, dtype=np.int64))) * 4096 + np.arange(bands)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), lists, pa.array([b.tobytes() for b in packed]), pa.array(factor), pa.array([b.tobytes() for b in q]), pa.array(low), pa.array(step)],
-                ["id", "bands", "bits", "factor", "q", "low", "step"],
-            )
-
-    # of rows that repeat an id the least vector counts, so that a task that is run again makes the same choice
-    whole = stored(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    codes = stored(whole.mapInArrow(code, f"id {kind}, bands array<bigint>, bits binary, factor double, q binary, low double, step double"), "codes")
+            for dim, x, at in by_dimension(batch.column(1)):
+                bits, bands = plans[dim]
+                packed, factor, q, low, step = encode(x)
+                signs = [np.unpackbits(packed, axis=1)[:, :dim].astype(bool)]
+                while sum(s.shape[1] for s in signs) < bits * bands:  # further rotations give further signs
+                    signs.append(x @ rotation(dim, len(signs)) > 0)
+                flat = np.concatenate(signs, axis=1)[:, : bits * bands].reshape(len(at), bands, bits)
+                keys = K.mix64((flat @ (np.int64(1) << np.arange(bits, dtype=np.int64))).view(np.uint64) + K.mix64(np.uint64(dim) * np.uint64(1 << 32) + np.arange(bands, dtype=np.uint64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                numbers = np.ascontiguousarray(x).view(np.uint64)
+                content = K.mix64((numbers * K.mix64(np.arange(1, dim + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64) + np.uint64(dim)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array(content), lists, _binary(packed), pa.array(factor), _binary(q), pa.array(low), pa.array(step)],
+                    ["id", "content", "bands", "bits", "factor", "q", "low", "step"],
+                )
+
+    codes = stored(whole.mapInArrow(code, f"id {kind}, content bigint, bands array<bigint>, bits binary, factor double, q binary, low double, step double"), "codes")
+    first = stored(codes.groupBy("content").agg(F.min("id").alias("a"), F.count("*").alias("n")), "contents")
+    copies = codes.select("id", "content").join(first.where("n > 1"), "content").select("a", F.col("id").alias("b")).where("a <> b")
+    single = codes.join(first.select("content", F.col("a").alias("id")), ["content", "id"], "left_semi")
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                q = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                factor, low, step = (batch.column(c).to_numpy() for c in (3, 5, 6))
-                keep = estimate(packed, factor, q, low, step) >= threshold - margin(factor, step, dim, threshold)
-                yield batch.filter(pa.array(keep)).select([0, 1])
+            size = np.asarray(pc.binary_length(batch.column(4)))
+            size = np.where(np.asarray(pc.binary_length(batch.column(2))) == (size + 7) // 8, size, 0)
+            keep = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == dim)
+                factor, low, step = (batch.column(c).to_numpy()[at] for c in (3, 5, 6))
+                keep[at] = estimate(_fixed(batch.column(2), at), factor, _fixed(batch.column(4), at), low, step) >= threshold - margin(factor, step, dim, threshold)
+            yield batch.filter(pa.array(keep)).select([0, 1])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, _), (y, _) = unit(batch.column(2), dim), unit(batch.column(3), dim)
-            yield batch.filter(pa.array((x * y).sum(axis=1) >= threshold)).select([0, 1])
+            keep = np.zeros(batch.num_rows, bool)
+            other = {dim: (y, at) for dim, y, at in by_dimension(batch.column(3))}
+            for dim, x, at in by_dimension(batch.column(2)):
+                if dim in other:
+                    both, i, j = np.intersect1d(at, other[dim][1], return_indices=True)
+                    keep[both] = (x[i] * other[dim][0][j]).sum(axis=1) >= threshold
+            yield batch.filter(pa.array(keep)).select([0, 1])
 
     def verified(edges: DataFrame) -> DataFrame:
         both = edges.join(codes.selectExpr("id as a", "bits", "factor"), "a").join(codes.selectExpr("id as b", "q", "low", "step"), "b")
         left = stored(both.select("a", "b", "bits", "factor", "q", "low", "step").mapInArrow(promising, f"a {kind}, b {kind}"), "uncertain")
-        full = left.join(whole.selectExpr("id as a", "v as va"), "a").join(whole.selectExpr("id as b", "v as vb"), "b")
+        ids = stored(left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct(), "ids")
+        vecs = stored(join_ids(whole, ids, "id", "left_semi"), "vectors")  # only these are moved
+        full = left.join(vecs.selectExpr("id as a", "v as va"), "a").join(vecs.selectExpr("id as b", "v as vb"), "b")
         return stored(full.select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}"), "near")
 
-    buckets = codes.select("id", F.explode("bands").alias("key")).distinct().selectExpr("key", "id", "min(id) over (partition by key) as a", "max(id) over (partition by key) as z")
-    buckets = stored(buckets.where("a <> z").select("key", "id", "a"), "buckets")
+    buckets = bucketed(single.select("id", F.explode("bands").alias("key")).distinct())
     stars = verified(stored(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "candidates"))
     comps = stored(components(stars), "comps")
     more = verified(stored(across(buckets, comps), "candidates"))
-    groups = components(stars.unionAll(more))
+    groups = components(copies.unionAll(stars).unionAll(more))
     return groups.groupBy(F.col("comp").alias("group_id")).agg(F.sort_array(F.collect_list("id")).alias("vec_ids"), F.count("*").alias("n_vecs"))
