@@ -4,13 +4,17 @@ Texts and items are compared as bytes of their lower-cased words joined by
 single spaces.  Items are cut into overlapping segments; a segment of L bytes
 that occurs with at most e edits shares at least L - q + 1 - e*q of its q-grams
 on diagonals that span at most e, hence all of them lie in one of the bands of
-2(e+1) diagonals that begin at every multiple of e+1.
+2(e+1) diagonals that begin at every multiple of e+1.  The benchmark's q-grams
+are one sorted array of places; hits are first counted in the bands of its
+whole text, and only those whose band has enough are given to segments.
+Items that are too short for an edit are looked up whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,9 @@ from ..session import ship
 from . import kernels as K
 
 #: q, edits a byte, bytes of a segment and of the step from one to the next.
-Q, EDIT_RATE, SEGMENT, STEP = 12, 0.05, 96, 48
-#: Bytes of benchmark text in one broadcast index; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 8 << 20
+Q, EDIT_RATE, SEGMENT, STEP = 8, 0.095, 64, 16
+#: Bytes of benchmark text in one broadcast index (which has 17 times as many), and indexes that one pass searches; a larger benchmark takes several passes.
+BLOCK_BYTES, BLOCKS = 2 << 20, 4
 _BITS = 22
 
 
@@ -33,7 +37,7 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = K.text_bytes(K.lower(texts))
     if not len(data):
         return data, offs
-    word = K.BYTE_CLASS[data] == 1
+    word = K.classes(data)[0] == 1
     keep = word.copy()
     keep[1:] |= word[:-1]
     first = offs[:-1][offs[:-1] < len(data)]
@@ -52,59 +56,83 @@ def qgrams(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of a block of benchmark items, and their q-grams in the order of their hashes."""
+    """Segments of a block of benchmark items, the q-grams of the items' text in order of their hashes, and the short items."""
 
+    text: np.ndarray  # the normalised items end to end
     item: np.ndarray  # of each segment
-    text: np.ndarray  # segment x SEGMENT bytes, padded with 0
+    start: np.ndarray  # of each segment in the text; neither starts nor ends decrease
     length: np.ndarray
     edits: np.ndarray
     need: np.ndarray
     hashes: np.ndarray
-    segment: np.ndarray  # of each q-gram
-    place: np.ndarray
+    place: np.ndarray  # of each q-gram in the text
+    least: np.ndarray  # of each q-gram: what the most modest of its segments needs
     bitmap: np.ndarray
+    short: dict  # length: (hashes in order, segments)
+
+
+def budget(length: np.ndarray, q: int = Q, rate: float = EDIT_RATE) -> np.ndarray:
+    """Edits that a segment may have: its length times the rate, and no more than the q-gram lemma can find."""
+    return np.maximum(np.minimum((length * rate).astype(np.int64), length // q - 1), 0)
 
 
 def build(items: list[tuple], q: int = Q, rate: float = EDIT_RATE, size: int = SEGMENT, step: int = STEP) -> Index:
-    """Items of fewer than q normalised bytes have no q-gram and are never found."""
+    """Segments of all items with a word; those of fewer than 2q bytes have no edits and are kept apart."""
     data, offs = normalised(pa.array([t for _, t in items], pa.string()))
-    item, text = [], []
+    item, start, length = [], [], []
     for k, (i, _) in enumerate(items):
-        b = data[offs[k] : offs[k + 1]].tobytes().rstrip()
-        starts = [0] if len(b) <= size else [*range(0, len(b) - size, step), len(b) - size]
-        for s in starts if len(b) >= q else []:
+        n = len(data[offs[k] : offs[k + 1]].tobytes().rstrip())
+        for s in ([0] if n <= size else [*range(0, n - size, step), n - size]) if n else []:
             item.append(i)
-            text.append(b[s : s + size])
-    length = np.array([len(t) for t in text], np.int64)
-    edits = np.minimum((length * rate).astype(np.int64), (length - q) // q)
-    padded = np.zeros((len(text), size), np.uint8)
-    parts = []
-    for s, t in enumerate(text):
-        padded[s, : len(t)] = np.frombuffer(t, np.uint8)
-        parts.append(qgrams(padded[s, : len(t)], q))
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    n = np.array([len(p) for p in parts], np.int64)
-    segment = np.repeat(np.arange(len(parts)), n)
-    place = np.concatenate([np.arange(x) for x in n]) if parts else np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
-    bitmap = np.zeros(1 << _BITS, bool)
+            start.append(int(offs[k]) + s)
+            length.append(min(n, size))
+    start, length = np.array(start, np.int64), np.array(length, np.int64)
+    edits = budget(length, q, rate)
+    need = length - q + 1 - edits * q
+    grams = qgrams(data, q)
+    low, high = _owners(np.arange(len(grams)), start, length, q)
+    long = np.concatenate([[0], np.cumsum(length >= 2 * q)])
+    place = np.flatnonzero(long[high] > long[low]) if len(start) else np.zeros(0, np.int64)
+    least = np.full(len(place), 255, np.int64)
+    for j in range(int((high - low)[place].max()) if len(place) else 0):
+        inside = low[place] + j < high[place]
+        least = np.where(inside, np.minimum(least, need[np.minimum(low[place] + j, len(need) - 1)]), least)
+    order = np.argsort(grams[place], kind="stable")
+    hashes, bitmap = grams[place][order], np.zeros(1 << _BITS, bool)
     bitmap[hashes >> np.uint64(64 - _BITS)] = True
-    return Index(np.array(item), padded, length, edits, length - q + 1 - edits * q, hashes[order], segment[order], place[order], bitmap)
+    short = {}
+    for n in np.unique(length[length < 2 * q]).tolist():
+        mine = np.flatnonzero(length == n)
+        own = qgrams(data, n)[start[mine]]
+        short[n] = (np.sort(own), mine[np.argsort(own, kind="stable")])
+    return Index(data, np.array(item), start, length, edits, need, hashes, place[order].astype(np.int32), least[order].astype(np.uint8), bitmap, short)
+
+
+def _owners(place: np.ndarray, start: np.ndarray, length: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of the segments that hold the q-gram at each place."""
+    return np.searchsorted(start + length, place + q, "left"), np.searchsorted(start, place, "right")
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), and the range that each is of."""
+    n = np.maximum(high - low, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of], of
 
 
 def _align(ix: Index, seg: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Least edits between each segment and a stretch of text[begin:end] whose diagonals lie within the band from ``low`` on."""
-    most = int(ix.edits.max())
+    most = int(ix.edits[seg].max())
     width = 2 * (most + 1) + 2 * most
     steps = np.arange(width)
     cost = np.zeros((len(seg), width), np.int32)
     best = np.full(len(seg), 1 << 20, np.int32)
-    first = low - most
+    first, last = low - most, len(ix.text) - 1
     for r in range(int(ix.length[seg].max())):
         at = first[:, None] + r + steps
         inside = (at >= begin[:, None]) & (at < end[:, None])
         char = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 1)
-        now = cost + (char != ix.text[seg, r][:, None])
+        now = cost + (char != ix.text[np.minimum(ix.start[seg] + r, last)][:, None])
         now[:, :-1] = np.minimum(now[:, :-1], cost[:, 1:] + 1)
         cost = (np.minimum.accumulate(now - steps, axis=1) + steps).astype(np.int32)
         done = ix.length[seg] == r + 1
@@ -112,58 +140,88 @@ def _align(ix: Index, seg: np.ndarray, low: np.ndarray, begin: np.ndarray, end:
     return best
 
 
+def _crowded(band: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which hits lie in a band, or in one with the band before it, that has at least as many hits as they need."""
+    found, inverse, count = np.unique(band, return_inverse=True, return_counts=True)
+    near = found[1:] == found[:-1] + 1
+    both = count.copy()
+    both[1:][near] += count[:-1][near]  # the wider band that ends here
+    wide = both.copy()
+    wide[:-1][near] = np.maximum(wide[:-1][near], both[1:][near])
+    return wide[inverse] >= least
+
+
+def _whole(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, segment) of short items, found as whole words."""
+    for n, (hashes, segs) in ix.short.items():
+        grams = qgrams(data, n)
+        bound = np.zeros(len(data) + 1, bool)  # between words: before and behind a space, and where documents meet
+        bound[offs] = True
+        blank = np.flatnonzero(data == 0x20)
+        bound[blank] = bound[blank + 1] = True
+        at = np.flatnonzero(bound[: len(grams)] & bound[n : n + len(grams)])
+        which, of = _spread(np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right"))
+        at, seg = at[of], segs[which]
+        doc = np.searchsorted(offs, at, "right") - 1
+        ok = at + n <= offs[np.minimum(doc + 1, len(offs) - 1)]
+        at, seg, doc = at[ok], seg[ok], doc[ok]
+        same = np.ones(len(at), bool)
+        for k in range(n):
+            same &= data[at + k] == ix.text[ix.start[seg] + k]
+        yield doc[same], seg[same]
+
+
 def search(ix: Index, texts: pa.Array, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, segment, edits) of verified occurrences, the least edits for each row and segment."""
-    none = (np.zeros(0, np.int64),) * 3
+    """(row, segment, edits) of verified occurrences, the edits those of the best occurrence in a band."""
     data, offs = normalised(texts)
+    out = [(np.zeros(0, np.int64),) * 3] + [(d, s, np.zeros(len(d), np.int64)) for d, s in _whole(ix, data, offs)]
     grams = qgrams(data, q)
-    if not len(grams) or not len(ix.hashes):
-        return none
-    at = np.flatnonzero(ix.bitmap[grams >> np.uint64(64 - _BITS)])
-    low, high = np.searchsorted(ix.hashes, grams[at], "left"), np.searchsorted(ix.hashes, grams[at], "right")
-    n = high - low
-    at, low, n = at[n > 0], low[n > 0], n[n > 0]
-    doc = np.searchsorted(offs, at, "right") - 1
-    fits = at + q <= offs[doc + 1]
-    at, low, n, doc = at[fits], low[fits], n[fits], doc[fits]
-    if not len(at):
-        return none
-    which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    at, doc, seg = np.repeat(at, n), np.repeat(doc, n), ix.segment[which]
-    band = (at - ix.place[which] + SEGMENT) // (ix.edits[seg] + 1)
-    bands = len(data) + 2 * SEGMENT
-    key = (doc * len(ix.item) + seg) * bands + band
-    found, count = np.unique(np.concatenate([key, key - (band > 0)]), return_counts=True)
-    pair, band = found // bands, found % bands
-    doc, seg = pair // len(ix.item), pair % len(ix.item)
-    keep = count >= ix.need[seg]
-    doc, seg, band = doc[keep], seg[keep], band[keep]
-    out = []
-    for s in range(0, len(doc), 4096):
-        d, g, b = (x[s : s + 4096] for x in (doc, seg, band))
-        out.append(_align(ix, g, b * (ix.edits[g] + 1) - SEGMENT, offs[d], offs[d + 1], data))
-    if not out:
-        return none
-    edits = np.concatenate(out)
-    ok = edits <= ix.edits[seg]
-    return doc[ok], seg[ok], edits[ok]
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """Broadcast indexes, each of at most about BLOCK_BYTES of benchmark text."""
+    at = np.flatnonzero(ix.bitmap[grams >> np.uint64(64 - _BITS)]) if len(ix.hashes) else np.zeros(0, np.int64)
+    if len(at):
+        doc = np.searchsorted(offs, at, "right") - 1
+        at, doc = at[at + q <= offs[doc + 1]], doc[at + q <= offs[doc + 1]]
+        which, of = _spread(np.searchsorted(ix.hashes, grams[at], "left"), np.searchsorted(ix.hashes, grams[at], "right"))
+        at, doc, place = at[of], doc[of], ix.place[which].astype(np.int64)
+        crowd = _crowded((at - place + len(ix.text)) // (int(ix.edits.max()) + 1), ix.least[which])
+        at, doc, place = at[crowd], doc[crowd], place[crowd]
+        seg, of = _spread(*_owners(place, ix.start, ix.length, q))
+        at, doc, place = at[of], doc[of], place[of]
+        long = ix.length[seg] >= 2 * q
+        at, doc, place, seg = at[long], doc[long], place[long], seg[long]
+        band = (at - (place - ix.start[seg]) + SEGMENT) // (ix.edits[seg] + 1)
+        bands = len(data) + 2 * SEGMENT
+        key = (doc * len(ix.item) + seg) * bands + band
+        found, count = np.unique(np.concatenate([key, key - (band > 0)]), return_counts=True)
+        pair, band = found // bands, found % bands
+        doc, seg = pair // len(ix.item), pair % len(ix.item)
+        keep = count >= ix.need[seg]
+        doc, seg, band = doc[keep], seg[keep], band[keep]
+        for s in range(0, len(doc), 4096):
+            d, g, b = (x[s : s + 4096] for x in (doc, seg, band))
+            edits = _align(ix, g, b * (ix.edits[g] + 1) - SEGMENT, offs[d], offs[d + 1], data)
+            ok = edits <= ix.edits[g]
+            out.append((d[ok], g[ok], edits[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> list[list]:
+    """Broadcast indexes by pass, each of about BLOCK_BYTES of benchmark text."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     spark = benchmark.sparkSession
     ship(spark)
     part = F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1)))
-    return [spark.sparkContext.broadcast(build(sorted((r.item, r.text) for r in items.where(part == k).collect()))) for k in range(blocks)]
+    made = [spark.sparkContext.broadcast(build(sorted((r.item, r.text) for r in items.where(part == k).collect()))) for k in range(blocks)]
+    return [made[k : k + BLOCKS] for k in range(0, blocks, BLOCKS)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits): documents with a segment of an item, with the fewest edits of any segment.
 
-    A segment is 96 bytes (the whole of a shorter item); up to 5 % of its bytes may be edited.
+    Texts and items are compared as lower-cased words with single spaces.  A segment is 64 bytes, one begins every 16 bytes and
+    one ends each item; a shorter item is one segment.  A segment of L bytes may have 0.095 L edits (6 at 64 bytes), but at most
+    L/8 - 1, both rounded down: none below 16 bytes, where the item must occur as whole words.  An item without words is nowhere.
     Null ids and texts are skipped; empty tables give no rows; a repeated document is searched
     once for each row and reported once; further columns are not read.
     """
@@ -172,11 +230,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"
 
-    def scan(shared) -> Callable:  # noqa: ANN001
+    def scan(shared: list) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
             for batch in batches:
-                for a, b in K.text_chunks(batch.column(1)):
+                for (a, b), ix in product(K.text_chunks(batch.column(1)), [x.value for x in shared]):
                     row, seg, edits = search(ix, batch.column(1).slice(a, b - a))
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(ix.item[seg].tolist(), type=item_type), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
@@ -184,29 +241,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return run
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _blocks(benchmark, item_col, item_text):
+    for shared in _passes(benchmark, item_col, item_text):
         out = out.unionAll(rows.mapInArrow(scan(shared), schema))
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that hold a segment of an item.  One pass over the rows, no shuffle.
+    """docs without those that hold a segment of an item, as :func:`leaks` finds them.  One pass over the rows, no shuffle.
 
     Null and empty texts and null ids stay; repeated rows are judged alike; without items, or documents, nothing changes;
     columns of any name pass through.
     """
     at = docs.columns.index(text_col)
 
-    def clean(shared) -> Callable:  # noqa: ANN001
+    def clean(shared: list) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, b in K.text_chunks(batch.column(at)):
-                    keep[search(shared.value, batch.column(at).slice(a, b - a))[0] + a] = False
+                for (a, b), ix in product(K.text_chunks(batch.column(at)), [x.value for x in shared]):
+                    keep[search(ix, batch.column(at).slice(a, b - a))[0] + a] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
-    for shared in _blocks(benchmark, item_col, item_text):
+    for shared in _passes(benchmark, item_col, item_text):
         docs = docs.mapInArrow(clean(shared), docs.schema)
     return docs
