@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_ids, stored
+from .common import join_ids, stored, unused
 
 #: Knots, and the powers of a source's supply that its share follows there: natural at first, then flatter.
 KNOTS, POWERS = (0.0, 0.5, 1.0), (1.0, 0.7, 0.5)
@@ -49,18 +49,23 @@ def positions(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] |
     a source without one has weight 0.  It may be a function of (src, supply) and the knots, too: ``default_schedule``
     drops what is beyond a source's demand, ``whole_schedule`` places every document of each source with tokens.  Tokens are runs of visible characters.
     A null source counts as ''; null and empty texts have no tokens and take no room; rows with a null id go;
-    repeated rows are placed one after the other.  Empty tables give no rows.
+    repeated rows are placed one after the other.  Empty tables give no rows.  Integer ids are ordered within a source by a
+    congruence of their own (that of ``SQL``), ids of other types by their hash.  A source that the schedule names twice
+    has the sum of its weights.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("n"),
     )
-    rows = stored(rows.withColumn("h", F.expr(f"pmod(pmod(doc_id, {_MOD}) * 1103515245 + 12345, {_MOD})")).withColumn("part", F.expr(f"cast(h div {_MOD // PARTS} as int)")), "tokens")
+    whole = dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    number = F.col("doc_id").cast("bigint") if whole else F.xxhash64("doc_id")
+    rows = stored(rows.withColumn("h", F.pmod(F.pmod(number, F.lit(_MOD)) * 1103515245 + 12345, F.lit(_MOD))).withColumn("part", F.expr(f"cast(h div {_MOD // PARTS} as int)")), "tokens")
     sums = stored(rows.groupBy("src", "part").agg(F.sum("n").alias("total")), "sums")
     supply = sums.groupBy("src").agg(F.sum("total").alias("supply"))
     weights = schedule if isinstance(schedule, DataFrame) else (schedule or default_schedule)(supply, knots=knots)
     m = len(knots)
-    joined = supply.join(weights, "src").select("src", "supply", *(F.col(f"w{k}").cast("double").alias(f"w{k}") for k in range(m)))
+    weights = weights.groupBy("src").agg(*(F.sum(F.col(f"w{k}").cast("double")).alias(f"w{k}") for k in range(m)))
+    joined = supply.join(weights, "src").select("src", "supply", *(f"w{k}" for k in range(m)))
     everyone = Window.partitionBy()
     shares = joined.select("src", "supply", *(F.coalesce(F.try_divide(F.col(f"w{k}"), F.sum(f"w{k}").over(everyone)), F.lit(0.0)).alias(f"s{k}") for k in range(m)))
     area = sum((F.lit((knots[k + 1] - knots[k]) / 2) * (F.col(f"s{k}") + F.col(f"s{k + 1}")) for k in range(m - 1)), F.lit(0.0))
@@ -83,15 +88,25 @@ def positions(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] |
     return placed.select("doc_id", F.col("src").alias("source"), F.col("n").alias("n_tokens"), F.round(at, 6).alias("position"))
 
 
-def mixed(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] | None = None, **columns: str) -> DataFrame:
-    """docs in the order in which training reads them, without those beyond their source's demand; all columns stay.
+def placed(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] | None = None, name: str = "position", **columns: str) -> DataFrame:
+    """docs with their positions in a further column ``name``, without those that have none; in no order.
 
-    Rows that repeat an id all take the place of the first of them; rows with a null id go; columns of any name pass through.
+    Rows that repeat an id all take the place of the first of them; rows with a null id go; columns of any other name pass through.
     """
     id_col = columns.get("id_col", "doc_id")
     place = stored(positions(docs, schedule, **columns).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position")), "positions")
     both = join_ids(docs, place, docs[id_col] == place["__id"], "inner", 96)  # type: ignore[arg-type]
-    return both.orderBy(place["__position"], place["__id"]).select(*(docs[c] for c in docs.columns))
+    return both.select(*(docs[c] for c in docs.columns), place["__position"].alias(name))
+
+
+def mixed(docs: DataFrame, schedule: DataFrame | Callable[..., DataFrame] | None = None, **columns: str) -> DataFrame:
+    """docs in the order in which training reads them, without those beyond their source's demand; all columns stay.
+
+    Rows are treated as by :func:`placed`; rows at the same position go by id.  Files keep the order among themselves by their
+    numbers only; who reads them in another order gets the positions from :func:`placed` again, which depend on the rows alone.
+    """
+    name = unused(docs, "position")
+    return placed(docs, schedule, name, **columns).orderBy(name, columns.get("id_col", "doc_id")).drop(name)
 
 
 #: The same in DuckDB's SQL, over `documents`.
