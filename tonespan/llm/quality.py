@@ -2,7 +2,8 @@
 
 A document's features are its words and pairs of neighbouring words (runs of
 punctuation are words), hashed to 2**20 weights; all pairs of a word with
-itself are one feature, as stuttering is alike whatever the word.  Feature values are counts
+itself are one feature: a text that stutters is poor whatever the word, and each
+word alone would be too rare to learn it from.  Feature values are counts
 over the square root of the number of n-grams, so a score is one gather and
 one segmented sum over the document's n-grams.
 """
@@ -22,7 +23,7 @@ from . import kernels as K
 
 BITS = 20
 #: Labelled documents to train on (those of the least hashes of their ids), passes over them, and FTRL's parameters.
-SAMPLE, EPOCHS, ALPHA, BETA, L1, L2 = 8000, 2, 0.5, 1.0, 0.05, 0.01
+SAMPLE, EPOCHS, ALPHA, BETA, L1, L2 = 8000, 3, 2.0, 1.0, 0.05, 0.01
 THRESHOLD = 0.5
 
 
@@ -102,14 +103,18 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([model.weights[at].tobytes()], pa.binary()), pa.array([model.bias])], ["at", "weights", "bias"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", reject_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Trains in one task on at most ``sample`` labelled documents, a bound that doesn't grow with the corpus.
 
-    Null labels, ids and texts are ignored; an id with several labels takes the least, an id with several texts gives an example for each.  Without labelled documents all weights are 0,
+    A document is good if its label is 1 and ``reject_col``, where labels have that column, isn't 1: toxic ones aren't to be
+    trained on, however well they are written.  Null labels, ids and texts are ignored; an id with several labels takes the least, an id with several texts gives an example for each.  Without labelled documents all weights are 0,
     so that every text with a word scores 0.5 and is kept.
     """
     ship(docs.sparkSession)
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("double").alias("__label"))
+    good = F.col(label_col) > 0
+    if reject_col in labels.columns:
+        good = good & (F.coalesce(F.col(reject_col).cast("double"), F.lit(0.0)) <= 0)
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.when(good, 1.0).otherwise(0.0)).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "__id")
@@ -136,7 +141,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least ``threshold``, with all their columns; no shuffle."""
+    """The rows of docs that score at least ``threshold``, with all their columns, whatever their names; no shuffle.
+
+    Null texts and texts without words score 0 and go; null ids and repeated rows are judged by their texts, equal texts alike; a
+    score of just the threshold is kept; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
