@@ -7,6 +7,7 @@ digit ratio, entropy, parameters, and statistics of the host's suffix.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from .common import stored
 
 #: Labelled URLs of each class to train on (those of the least hashes), trees, their depth, learning rate, bins of a feature, L2 penalty.
 SAMPLE, TREES, DEPTH, RATE, BINS, PENALTY = 10_000, 40, 3, 0.3, 32, 1.0
+#: Parts of the hosts; in training, a suffix's share of bad URLs is taken from the other parts.
+FOLDS = 5
 #: Host names that a seed blocklist marks as bad; the query's labels come from it.
 SEEDS = ("cheap-pills", "spam-farm", "casino-win", "adult-x", "ads-track", "free-bets")
 NAMES = ["length", "host_length", "path_length", "query_length", "depth", "host_dots", "host_hyphens", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters", "percents", "underscores", "host_vowels", "suffix_share", "suffix_bad"]
@@ -135,13 +138,13 @@ def seed_labels(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 def suffix_shares(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """(__suffix, __share): each suffix's share of all URLs of the table."""
-    n = parts(pages.select(url_col), url_col).groupBy("__suffix").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.crossJoin(total).select("__suffix", (F.col("n") / F.col("total")).alias("__share"))
+    n = stored(parts(pages.select(url_col), url_col).groupBy("__suffix").agg(F.count("*").alias("n")), "suffixes")
+    total = n.agg(F.sum("n")).first()[0] or 1
+    return n.select("__suffix", (F.col("n") / total).alias("__share"))
 
 
 def fit(labels: DataFrame, shares: DataFrame, url_col: str = "url", label_col: str = "bad", sample: int = SAMPLE) -> Trees:
-    """Trains in one task on at most ``sample`` labelled URLs of each class; null URLs and labels are ignored, repeated URLs count once."""
+    """Trains in one task on at most ``sample`` labelled URLs of each class; null URLs and labels are ignored, repeated URLs count once, as bad if any of them is."""
     ship(labels.sparkSession)
     rows = labels.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(url_col).alias("__u")).agg(F.max(label_col).cast("double").alias("__y"))
     order = [F.xxhash64("__u"), F.col("__u")]
@@ -155,15 +158,17 @@ def fit(labels: DataFrame, shares: DataFrame, url_col: str = "url", label_col: s
         t = pa.Table.from_batches(got).combine_chunks()
         y = t.column("__y").to_numpy()
         suffix = t.column("__suffix").to_pylist()
-        seen: dict[str, list[float]] = {}
-        for s, v in zip(suffix, y):
-            c = seen.setdefault(s, [0.0, 0.0])
-            c[0] += v
-            c[1] += 1
+        fold = [zlib.crc32(h.encode()) % FOLDS for h in t.column("__host").to_pylist()]
         mean = float(y.mean())
-        bad = {s: (c[0] + 20 * mean) / (c[1] + 20) for s, c in seen.items()}
+        seen: dict[tuple, np.ndarray] = {}
+        for s, k, v in zip(suffix, fold, y):
+            for key in ((s, k), (s, None)):
+                seen[key] = seen.get(key, np.zeros(2)) + (v, 1)
+        rate = lambda c: float((c[0] + 20 * mean) / (c[1] + 20))
+        bad = {s: rate(c) for (s, k), c in seen.items() if k is None}
+        others = np.array([rate(seen[s, None] - seen[s, k]) for s, k in zip(suffix, fold)])  # a URL's own host has no part in its rate
         cols = [t.column(c).combine_chunks() for c in ("__url", "__host", "__path", "__query")]
-        trees = boost(lexical(*cols, t.column("__share").to_numpy(), np.array([bad[s] for s in suffix])), y)
+        trees = boost(lexical(*cols, t.column("__share").to_numpy(), others), y)
         trees.suffix_bad, trees.rate = bad, mean
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], ["model"])
 
@@ -193,6 +198,11 @@ def filtered(pages: DataFrame, model: Trees, shares: DataFrame, id_col: str = "p
 
 
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Trains on labels (url, bad), by default those of the seed blocklist, and scores all pages."""
-    shares = stored(suffix_shares(pages, url_col), "suffixes")
+    """Trains on labels (url, bad), by default those of the seed blocklist, and scores all pages.
+
+    A row for each page, whatever its columns; see :func:`fit` for nulls and repeated rows in labels and :func:`filtered` for those
+    in pages; an empty table gives no rows.
+    """
+    ship(pages.sparkSession)
+    shares = suffix_shares(pages, url_col)
     return filtered(pages, fit(labels if labels is not None else seed_labels(pages, url_col), shares), shares, id_col, url_col)
