@@ -6,6 +6,7 @@ digit ratio, entropy, parameters, and statistics of the host's suffix.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,9 @@ from . import kernels as K
 from .common import stored
 
 #: Labelled URLs of each class to train on (those of the least hashes), trees, their depth, learning rate, bins of a feature, L2 penalty.
-SAMPLE, TREES, DEPTH, RATE, BINS, PENALTY = 10_000, 40, 3, 0.3, 32, 1.0
+SAMPLE, TREES, DEPTH, RATE, BINS, PENALTY = 10_000, 60, 3, 0.3, 32, 1.0
+#: Share of the features that a tree may use: where several tell the known hosts apart, none may hide the others.
+COLUMNS = 0.3
 #: Parts of the hosts; in training, a suffix's share of bad URLs is taken from the other parts.
 FOLDS = 5
 #: Host names that a seed blocklist marks as bad; the query's labels come from it.
@@ -73,15 +76,20 @@ def lexical(url: pa.Array, host: pa.Array, path: pa.Array, query: pa.Array, shar
     return np.stack([np.asarray(c, np.float64) for c in cols], axis=1)
 
 
+def columns(tree: int, d: int) -> list[int]:
+    """The features that a tree may use, in the order in which they are tried."""
+    return np.random.Generator(np.random.PCG64([5, tree])).permutation(d)[: max(1, math.ceil(COLUMNS * d))].tolist()
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Second-order boosting of complete trees for the logistic loss; ties go to the first feature and the lowest cut."""
+    """Second-order boosting of complete trees for the logistic loss; ties go to the feature that is tried first and the lowest cut."""
     n, d = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(d)]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
     p0 = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     base = float(np.log(p0 / (1 - p0)))
     margin, trees = np.full(n, base), []
-    for _ in range(TREES):
+    for t in range(TREES):
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, p * (1 - p)
         node = np.zeros(n, np.int64)
@@ -90,7 +98,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
             size = 2**level
             best = np.full(size, 1e-9)
             split = np.full((size, 2), -1)
-            for j in range(d):
+            for j in columns(t, d):
                 key = node * (BINS + 1) + binned[:, j]
                 gs = np.bincount(key, g, size * (BINS + 1)).reshape(size, -1)
                 hs = np.bincount(key, h, size * (BINS + 1)).reshape(size, -1)
