@@ -164,6 +164,46 @@ def test_attributions_add_up(measured, response):
         H.attributions(fit, measured, ref_dates=["1990-01-01"])
 
 
+def test_attributions_of_grouped_panels_add_up(measured, response):
+    g = measured.aggregate(lexicons={"LEX": ["lexA", "lexB"]}, features={"ANY": ["up", "down"]}, time={"T": ["equal_weight", "linear"]})
+    days = [r.date for r in g.dates().orderBy("date").collect()]
+    model = M.Model("gaussian", 1.0, 0.1, (days[0], days[-1]), {"": {"LEX--ANY--T": 0.7}}, {"": 0.1}, {}, (1, 0))
+    at = H.attributions(model, g)
+    total = lambda f: {r.ref_date: r.t for r in f.groupBy("ref_date").agg(F.sum("attrib").alias("t")).collect()}
+    want = total(at.lexicons)
+    assert max(map(abs, want.values())) > 0.1
+    for f in (at.documents, at.lags, at.features, at.time):
+        got = total(f)  # a date without documents in its window has none to attribute to
+        assert got.keys() <= want.keys() and all(got.get(k, 0.0) == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_iterative_attributions_are_those_of_each_model(measured):
+    days = [r.date for r in measured.dates().orderBy("date").collect()]
+    names = ["--".join(r) for r in measured.panel.select("lexicon", "feature", "time").distinct().orderBy("lexicon", "feature", "time").collect()]
+    one = lambda k: M.Model("gaussian", 1.0, 0.1, (days[0], days[-1]), {"": {n: 0.1 * (i + 1) * k for i, n in enumerate(names[:5])}}, {"": 0.0}, {}, (8, 0))
+    models = {days[6]: one(1), days[9]: one(-2), days[12]: one(3)}
+    many = H.attributions(M.IterativeModel(models, pd.DataFrame(), {}), measured)
+    for part in ("documents", "lags", "lexicons", "features", "time"):
+        keys = [c for c in getattr(many, part).columns if c != "attrib"]
+        got = {tuple(r[c] for c in keys): r.attrib for r in getattr(many, part).collect()}
+        want = {tuple(r[c] for c in keys): r.attrib for d, m in models.items() for r in getattr(H.attributions(m, measured, ref_dates=[d]), part).collect()}
+        got, want = ({k: v for k, v in x.items() if abs(v) > 1e-12} for x in (got, want))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items()), part
+    few, more = (H.attributions(M.IterativeModel(dict(list(models.items())[:n]), pd.DataFrame(), {}), measured).lags._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (1, 3))
+    assert few == more
+
+
+def test_summaries_of_models(measured, response):
+    fitted = M.fit(measured.panel, response, M.ModelControl(kind="AIC", alphas=(0.5,)))
+    text = fitted.summary()
+    assert "AIC information criterion" in text and "(Intercept)" in text and all(t in text for t in next(iter(fitted.nonzero().values())))
+    raw = pd.DataFrame({"date": [1, 2], "response": [1.0, 2.0], "predicted": [1.5, 2.5]})
+    it = M.IterativeModel({1: fitted, 2: fitted}, *M.performance(raw))
+    assert "forecasts: 2" in it.summary() and "RMSFE: 0.50" in it.summary()
+    frame = it.plot_frame()
+    assert list(frame.columns) == ["date", "variable", "value"] and set(frame.variable) == {"realized", "prediction"} and len(frame) == 4
+
+
 def test_lags_with_latest_fill_add_up(spark, response):
     m = P.aggregate(A.as_sentiment(B.events(spark, SF)), A.Aggregation(docs="proportional", time=("linear",), by="day", lag=3, fill="latest"))
     series = sorted({r.s for r in m.panel.select(P.series_name().alias("s")).distinct().collect()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import warnings
 
 import pytest
@@ -49,13 +50,18 @@ def test_build(spark):
 
 def test_features(spark):
     c = C.build(spark.createDataFrame([("1", "2020-01-01", "good good cut"), ("2", "2020-01-01", "rates"), ("3", "2020-02-01", "none")], "id string, date string, texts string"))
-    out = C.add_features(c, keywords={"good": ["good"], "cut": "cut|rates", "absent": ["zzz"], "n": ["good"]}, binary={"good": True, "cut": True, "absent": True, "n": False}, regex={"good": False, "cut": True, "absent": False, "n": False})
-    assert [(r.good, r.cut, r.n) for r in out.orderBy("id").collect()] == [(1, 1, 1), (0, 1, 0), (0, 0, 0)]
     with pytest.warns(UserWarning, match="absent"):
-        assert "absent" not in C.drop_empty(out, ["good", "absent"]).columns
+        out = C.add_features(c, keywords={"good": ["good"], "cut": "cut|rates", "absent": ["zzz"], "n n": ["good"]}, binary={"good": True, "cut": True, "absent": True, "n n": False}, regex={"good": False, "cut": True, "absent": False, "n n": False}).withColumnRenamed("n_n", "n")
+    assert [(r.good, r.cut, r.n) for r in out.orderBy("id").collect()] == [(1, 1, 1), (0, 1, 0), (0, 0, 0)] and "absent" not in out.columns
+    everywhere = C.add_features(c, keywords={"e": "e|u"}, regex=True)
+    assert [r.e for r in everywhere.where("texts <> 'good good cut'").collect()] == [1.0, 1.0] or [r.e for r in everywhere.collect()] == [None] * 3
+    wide = spark.createDataFrame([("1", 0.5, 7.0, "x"), ("2", 1.0, 0.0, "y"), ("9", None, 0.5, "z")], "id string, fine double, wide double, word string")
+    with pytest.warns(UserWarning, match="word, wide|wide, word"):
+        more = C.add_features(c, wide)
+    assert "wide" not in more.columns and [r.fine for r in more.orderBy("id").collect()] == [0.5, 1.0, None]
     with pytest.warns(UserWarning):
         assert "big" not in C.add_features(c, {"big": 3.0, "ok": 0.5}).columns
-    assert C.feature_names(C.remove_features(out, ["good", "cut", "n", "absent"])) == ["dummyFeature"]
+    assert C.feature_names(C.remove_features(out, ["good", "cut", "n"])) == ["dummyFeature"]
     with pytest.raises(ValueError):
         C.remove_features(c, ["date"])
     s = {r.date: r for r in C.summarize(out, "month").collect()}
@@ -115,7 +121,8 @@ def test_rolling_skips_missing_values(spark):
     p = panel(spark, [(0, 1.0), (1, 2.0), (2, None), (3, 4.0), (4, 5.0), (5, 6.0)])
     got = [r.value for r in A.rolled(p, {"w": [0.1, 0.3, 0.6]}).orderBy("date").collect()]
     assert got == pytest.approx([0.7, 2.6, 4.2, 5.5])
-    assert A.rolled(p, {"w": [1.0] * 7}).count() == 0
+    with pytest.raises(Exception, match="longer than a series"):
+        A.rolled(p, {"w": [1.0] * 7}).count()
 
 
 def test_filling(spark):
@@ -136,6 +143,22 @@ def test_controls():
     assert "lag" in str(e.value) and "fill" in str(e.value)
     with pytest.raises(ValueError):
         A.check_component_names(["a"], ["b"], ["a"])
+    with pytest.warns(UserWarning, match="cores"):
+        assert A.Aggregation(cores=0).cores == 1
+
+
+def test_windows_and_names_that_cannot_be(spark):
+    rows = [(f"{i}", DAY + dt.timedelta(days=i), 3.0, "l", "f", 1.0) for i in range(3)]
+    sent = spark.createDataFrame(rows, "id string, date date, word_count double, lexicon string, feature string, score double")
+    assert P.aggregate(sent, A.Aggregation(lag=3, time=("linear",))).panel.count() == 1
+    with pytest.raises(Exception, match="longer than a series"):
+        P.aggregate(sent, A.Aggregation(lag=4, time=("linear",))).panel.count()
+    for column, name in (("lexicon", "f"), ("feature", "linear"), ("lexicon", "linear")):
+        with pytest.raises(Exception, match="more than one dimension"):
+            P.aggregate(sent.withColumn(column, F.lit(name)), A.Aggregation(lag=3, time=("linear",))).panel.count()
+    with pytest.raises(ValueError, match="more than one dimension"):
+        P.measures(B.corpus(spark, SF).drop("language"), Lexicons({"odd": {"the": 1.0}}), A.Aggregation(lag=3, time=("linear",)))
+    assert P.aggregate(sent.where("false"), A.Aggregation(lag=4, time=("linear",))).panel.count() == 0
 
 
 def test_as_sentiment(spark):
@@ -203,6 +226,59 @@ def test_groups(made):
         made.aggregate(features={"x": ["up", "up"]})
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_plans_do_not_grow(spark):
+    """Neither with groups, nor with languages, nor with models."""
+    panel = P.aggregate(A.as_sentiment(B.events(spark, SF)), B.CONTROL).panel
+    once = scans(P.grouped(panel, lexicons={"x": ["lexA", "lexB"]}))
+    assert once == scans(panel)
+    assert scans(P.grouped(panel, {"x": ["lexA", "lexB"]}, {"y": ["up", "down"]}, {"z": ["equal_weight", "linear"]})) == once
+    lex = lambda k: Lexicons({f"lex{k}": {"the": 1.0}})
+    by = lambda n: P.sentiment(B.corpus(spark, SF), {k: lex(k) for k in ("en", "de", "fr", "es")[:n]}, "counts", features=[])
+    assert scans(by(1)) == scans(by(4)) == 1
+
+
+def test_groups_against_plain_means(spark):
+    rng = random.Random(4)
+    rows = [(DAY + dt.timedelta(days=t), a, b, c, None if rng.random() < 0.2 else rng.random()) for a in "abcd" for b in "xy" for c in "mno" for t in range(5) if (a, b) != ("d", "y")]
+    panel = spark.createDataFrame(rows, "date date, lexicon string, feature string, time string, value double")
+    groups = {"lexicon": {"ab": ["a", "b"], "bc": ["b", "c"], "cd": ["c", "d"]}, "feature": {"xy": ["x", "y"]}, "time": {"mn": ["m", "n"]}}
+    have = {tuple(r[:4]): r[4] for r in rows}
+    for k, dim in enumerate(("lexicon", "feature", "time"), 1):
+        for name, members in groups[dim].items():
+            keys = {q[1:k] + q[k + 1 :] for q in have}
+            whole = [o for o in keys if all(any(q[1:k] + q[k + 1 :] == o and q[k] == m for q in have) for m in members)]
+            new = {}
+            for o in whole:
+                for day in {q[0] for q in have}:
+                    vs = [have.pop((day, *o[: k - 1], m, *o[k - 1 :])) for m in members]
+                    known = [v for v in vs if v is not None]
+                    new[(day, *o[: k - 1], name, *o[k - 1 :])] = sum(known) / len(known) if known and (len(whole) >= 2 or len(known) == len(vs)) else None
+            have |= new
+    got = {tuple(r)[:4]: r.value for r in P.grouped(panel, groups["lexicon"], groups["feature"], groups["time"]).select("date", "lexicon", "feature", "time", "value").collect()}
+    assert got.keys() == have.keys() and all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in have.items())
+
+
+def test_weights_of_groups(made):
+    g = made.aggregate(lexicons={"LEX": ["lexA", "lexB"]}, features={"ANY": ["up", "down"]}, time={"T": ["equal_weight", "linear"]})
+    assert list(g.time_weights) == ["T"] and g.time_weights["T"] == pytest.approx([(1 / 3 + w) / 2 for w in (1 / 6, 2 / 6, 3 / 6)])
+    w = g.document_weights
+    assert {tuple(r) for r in w.select("lexicon", "feature").distinct().collect()} == {("LEX", "ANY")}
+    assert w.select("id").distinct().count() == made.sentiment.select("id").distinct().count()
+    assert all(r.t == pytest.approx(1) for r in w.groupBy("date").agg(F.sum("w").alias("t")).collect())
+    some = made.subset(select=[["lexA", "up", "linear"]])
+    assert {tuple(r) for r in some.document_weights.select("lexicon", "feature").distinct().collect()} >= {("lexA", "up")}
+    assert g.members("lexicon", "LEX") == {"lexA": 0.5, "lexB": 0.5} and made.members("lexicon", "lexA") == {"lexA": 1.0}
+
+
+def test_summary_has_averages(made):
+    text, st = made.summary(), P.stats(made.panel).agg(F.avg("mean").alias("m")).first()
+    assert f"mean {st.m:.5f}" in text and "meanCorr" in text and "by day" in text
+
+
 def test_diff_and_scale(made):
     assert made.diff(2, 2).n_obs() == made.n_obs() - 4
     st = P.stats(made.scale().panel).collect()

@@ -216,6 +216,37 @@ def test_languages(spark):
     assert got == {(i, n): (0.5 if i == j else 0.0, 5.0) for i in "123" for j, n in zip("123", ("lexNL", "lexFR", "lexEN"))}
 
 
+def test_languages_have_frequencies_shifters_and_errors_of_their_own(spark):
+    df = spark.createDataFrame([("1", "nl", "goed goed x"), ("2", "nl", "goed x"), ("3", "en", "good x"), ("4", "nl", "x"), ("5", "en", "not good")], "id string, language string, texts string")
+    lex = {"nl": Lexicons({"l": {"goed": 1.0}}), "en": Lexicons({"m": {"good": 1.0, "goed": 5.0}})}
+    got = {(r.id, r.lexicon): r.score for r in sentiment(df, lex, "TFIDF").collect()}
+    assert got["1", "l"] == pytest.approx(2 * math.log10(3 / 3)) and got["3", "m"] == pytest.approx(math.log10(2 / 3)) and got["1", "m"] == 0
+    mixed = {"nl": lex["nl"], "en": Lexicons({"m": {"good": 1.0}}, [{"x": "not", "y": -1.0}])}
+    got = {(r.id, r.lexicon): r.score for r in sentiment(df, mixed, "counts").collect()}
+    assert len(got) == 10 and got["5", "m"] == -1 and got["1", "l"] == 2 and got["5", "l"] == 0
+    for wrong in (lex, mixed):
+        with pytest.raises(Exception, match="no lexicons of language"):
+            sentiment(df.withColumn("language", F.when(F.col("id") == "4", "fr").otherwise(F.col("language"))), wrong, "counts").collect()
+    with pytest.raises(ValueError):
+        sentiment(df, {"nl": lex["nl"], "en": lex["nl"]}, "counts")
+    with pytest.warns(UserWarning, match="cores"):
+        sentiment(df.drop("language"), lex["nl"], "counts", cores=0)
+
+
+def test_a_small_table_in_one_file_is_spread(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id id", "text texts")
+    assert sentiment(rows, LEX, "counts").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    rows.repartition(9).write.parquet(str(tmp_path / "many"))
+    assert "Repartition" not in sentiment(spark.read.parquet(str(tmp_path / "many")), LEX, "counts")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_windows_to_a_far_comma(spark):
+    texts = ["good " + "a " * 3000 + "not c_c", "good good c_c", "c_c good", "good a a c_c"]
+    types = {t["x"]: t["t"] for t in TYPES}
+    want = [finish("counts", *plain(t.split(), [LEX["l"]], types, "counts", True)) for t in texts]
+    assert [s[0] for s in score(spark, texts, CLUSTERS, "counts", True)] == [pytest.approx(w[0]) for w in want]
+
+
 def test_sentences_have_ids(spark):
     df = spark.createDataFrame([("1", "Good day. Bad, not good. X 1"), ("2", ""), ("3", None)], "id string, texts string")
     got = sentiment(df, CLUSTERS, "counts", sentence=True).orderBy("id", "sentence_id").collect()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import weights as W
 from .corpus import check_names, period
+from .scoring import checked_cores
 
 FILLS = ("zero", "latest", "none")
 
@@ -42,12 +43,14 @@ class Aggregation:
     b: tuple[float, ...] = (1, 2, 3, 4)
     own: Mapping[str, Sequence[float]] | None = field(default=None)
     tokens: str | None = None
+    cores: int | None = None
 
     def __post_init__(self) -> None:
         set_ = lambda k, v: object.__setattr__(self, k, v)
         if isinstance(self.time, str):
             set_("time", (self.time,))
         wrong = []
+        set_("cores", checked_cores(self.cores))
         if self.lag == 1:
             set_("time", ("own",))
             set_("own", {"dummyTime": [1.0]})
@@ -152,12 +155,20 @@ def filled(panel: DataFrame, by: str, fill: str = "zero", before: str | None = N
 def rolled(panel: DataFrame, weights: Mapping[str, Sequence[float]]) -> DataFrame:
     """(date, lexicon, feature, time, value): right-aligned weighted sums of the last rows of each series, the first weight for the most lagged.
 
-    Missing values are skipped; rows without a whole window are left out.
+    Missing values are skipped; rows without a whole window are left out.  The query fails if a series is shorter than the
+    window, or if a name is one of two dimensions: checks that run along with the rows, without a job of their own.
     """
     lag = len(next(iter(weights.values())))
     keys = series_of(panel)
-    frame = Window.partitionBy(*keys).orderBy("date").rowsBetween(1 - lag, 0)
-    rows = panel.withColumn("__v", F.collect_list(F.struct(no_nan(F.col("value")).alias("v"))).over(frame)).where(F.size("__v") == lag)
+    series = Window.partitionBy(*keys)
+    frame = series.orderBy("date").rowsBetween(1 - lag, 0)
+    short = F.count("*").over(series) < lag
+    rows = panel.select(*panel.columns, F.collect_list(F.struct(no_nan(F.col("value")).alias("v"))).over(frame).alias("__v"), short.alias("__short"))
+    whole = F.when(F.col("__short"), F.raise_error(F.lit(f"the window of {lag} rows is longer than a series")).cast("boolean"))
+    if {"lexicon", "feature"} <= set(keys):
+        named = (F.col("lexicon") == F.col("feature")) | F.col("lexicon").isin(list(weights)) | F.col("feature").isin(list(weights))
+        whole = whole.when(named, F.raise_error(F.concat_ws(" ", F.lit("a name occurs in more than one dimension:"), "lexicon", "feature")).cast("boolean"))
+    rows = rows.where(whole.otherwise(F.size("__v") == lag))
 
     def total(ws: Sequence[float]) -> Column:
         products = F.zip_with("__v", F.array(*map(F.lit, map(float, ws))), lambda s, w: F.coalesce(s["v"] * w, F.lit(0.0)))
@@ -168,6 +179,7 @@ def rolled(panel: DataFrame, weights: Mapping[str, Sequence[float]]) -> DataFram
 
 
 def check_component_names(lexicons: Sequence[str], features: Sequence[str], times: Sequence[str]) -> None:
+    """The same check where the names are known beforehand."""
     names = [*features, *lexicons, *times]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:

@@ -2,12 +2,17 @@
 
 Documents meet reference dates through a table of (reference date, period, lag): a range join turned into an equi-join of
 bounded size.  Coefficients and time weights are small and broadcast; documents are reduced to one row for each time scheme first.
+An iterative scheme's models are one table of coefficients by reference date, so its plan doesn't grow with their number.
+
+A group's series is the mean of its members', so its coefficient is spread over them: documents keep the weights that the texts
+were aggregated with, and all dimensions add up to the same, whatever groups were made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +33,23 @@ class Attributions:
     time: DataFrame
 
 
-def coefficient_frame(spark: SparkSession, coef: Mapping[str, float]) -> DataFrame:
-    """(lexicon, feature, time, coef) of the terms that are series."""
-    rows = [(*t.split("--"), float(v)) for t, v in coef.items() if t.count("--") == 2]
-    return spark.createDataFrame(rows, "lexicon string, feature string, time string, coef double")
+def coefficient_frame(spark: SparkSession, coef: Mapping[str, float] | Sequence[tuple], m: Measures | None = None) -> DataFrame:
+    """(lexicon, feature, time, coef) of the terms that are series; with pairs (date, coefficients) also ref_date.
+
+    With measures, groups of lexicons and features are spread over the members that documents have scores of.
+    """
+    many = not isinstance(coef, Mapping)
+    spread = m.members if m else lambda _, name: {name: 1.0}
+    rows: dict[tuple, float] = {}
+    for day, terms in coef if many else [(None, coef)]:
+        for term, v in terms.items():
+            if term.count("--") == 2:
+                lexicon, feature, time = term.split("--")
+                for (a, x), (b, y) in product(spread("lexicon", lexicon).items(), spread("feature", feature).items()):
+                    key = (str(day), a, b, time) if many else (a, b, time)
+                    rows[key] = rows.get(key, 0.0) + float(v) * x * y
+    frame = spark.createDataFrame([(*k, v) for k, v in rows.items()], "ref_date string, " * many + "lexicon string, feature string, time string, coef double")
+    return frame.withColumn("ref_date", F.col("ref_date").cast("date")) if many else frame
 
 
 def lag_windows(grid: DataFrame, refs: DataFrame, n_lags: int) -> DataFrame:
@@ -60,22 +78,30 @@ def by_document(weighted: DataFrame, coef: DataFrame, windows: DataFrame, weight
     return reduced.join(placed, ["date", "time"]).groupBy("ref_date", "id", "date").agg(F.coalesce(F.sum(F.col("v") * F.col("b")), F.lit(0.0)).alias("attrib"))
 
 
+def by_document_each(weighted: DataFrame, coef: DataFrame, windows: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same with coefficients of each reference date's own."""
+    per = windows.join(F.broadcast(weights), "place").join(coef, ["ref_date", "time"]).groupBy("ref_date", "date", "lexicon", "feature").agg(F.sum(F.col("coef") * F.col("b")).alias("g"))
+    return weighted.join(per, ["date", "lexicon", "feature"]).groupBy("ref_date", "id", "date").agg(F.coalesce(F.sum(F.col("score") * F.col("w") * F.col("g")), F.lit(0.0)).alias("attrib"))
+
+
 def by_lag(weighted: DataFrame, coef: DataFrame, windows: DataFrame, weights: DataFrame, grid: DataFrame, fill: str) -> DataFrame:
     """(ref_date, component, attrib): the same by lag; periods without documents count 0, or like the last before with fill 'latest'."""
-    totals = weighted.join(F.broadcast(coef), ["lexicon", "feature"]).groupBy("date", "time").agg(F.sum(F.col("coef") * F.col("score") * F.col("w")).alias("v"))
-    full = grid.crossJoin(F.broadcast(coef.select("time").distinct())).join(totals, ["date", "time"], "left")
+    used = coef.select("lexicon", "feature").distinct()
+    totals = weighted.join(F.broadcast(used), ["lexicon", "feature"]).groupBy("date", "lexicon", "feature").agg(F.sum(F.col("score") * F.col("w")).alias("v"), F.lit(True).alias("__there"))
+    full = totals
     if fill == "latest":
-        there = weighted.select("date").distinct().withColumn("__there", F.lit(True))
-        full = full.join(there, "date", "left").withColumn("v", F.when(F.col("__there"), F.coalesce("v", F.lit(0.0))))
-        full = full.withColumn("v", F.last("v", ignorenulls=True).over(Window.partitionBy("time").orderBy("date")))
-    rows = windows.join(F.broadcast(weights), "place").join(full, ["date", "time"])
-    return rows.groupBy("ref_date", F.concat(F.lit("lag_"), F.col("lag").cast("string")).alias("component")).agg(F.coalesce(F.sum(F.col("v") * F.col("b")), F.lit(0.0)).alias("attrib"))
+        full = grid.crossJoin(F.broadcast(used)).join(totals, ["date", "lexicon", "feature"], "left").withColumn("v", F.when(F.col("__there"), F.coalesce("v", F.lit(0.0))))
+        full = full.withColumn("v", F.last("v", ignorenulls=True).over(Window.partitionBy("lexicon", "feature").orderBy("date")))
+    on = ["ref_date", "time"] if "ref_date" in coef.columns else ["time"]
+    rows = windows.join(F.broadcast(weights), "place").join(F.broadcast(coef), on).join(full.select("date", "lexicon", "feature", "v"), ["date", "lexicon", "feature"], "left")
+    return rows.groupBy("ref_date", F.concat(F.lit("lag_"), F.col("lag").cast("string")).alias("component")).agg(F.coalesce(F.sum(F.col("coef") * F.col("v") * F.col("b")), F.lit(0.0)).alias("attrib"))
 
 
 def by_dimension(panel: DataFrame, coef: DataFrame, refs: DataFrame, dim: str) -> DataFrame:
     """(ref_date, component, attrib): coefficient times measure by component; those without a series in the model get 0."""
-    rows = panel.join(refs.select(F.col("ref_date").alias("date")), "date", "left_semi").join(F.broadcast(coef), list(SERIES), "left")
-    return rows.groupBy(F.col("date").alias("ref_date"), F.col(dim).alias("component")).agg(F.coalesce(F.sum(F.col("coef") * F.col("value")), F.lit(0.0)).alias("attrib"))
+    days = panel.withColumnRenamed("date", "ref_date").join(refs, "ref_date", "left_semi")
+    rows = days.join(F.broadcast(coef), ["ref_date", *SERIES] if "ref_date" in coef.columns else list(SERIES), "left")
+    return rows.groupBy("ref_date", F.col(dim).alias("component")).agg(F.coalesce(F.sum(F.col("coef") * F.col("value")), F.lit(0.0)).alias("attrib"))
 
 
 def normalized(frame: DataFrame) -> DataFrame:
@@ -89,36 +115,31 @@ def attributions(model: Model | IterativeModel, m: Measures, lags: bool = True,
 
     ``factor`` names the class of a multinomial model.  Document attributions aren't normalised.
     """
-    if isinstance(model, IterativeModel):
-        days = list(ref_dates) if ref_dates is not None else list(model.models)
-        parts = [attributions(f, m, lags, normalize, [d], factor) for d, f in zip(days, model.models.values())]
-        together = lambda k: None if getattr(parts[0], k) is None else _union([getattr(p, k) for p in parts])
-        return Attributions(*(together(k) for k in ("documents", "lags", "lexicons", "features", "time")))
     spark = m.panel.sparkSession
-    first, last = model.dates
-    if ref_dates is None:
+    of = lambda f: f.coef[factor] if factor is not None else next(iter(f.coef.values()))
+    if isinstance(model, IterativeModel):
+        models = list(model.models.items())
+        days = list(ref_dates) if ref_dates is not None else [d for d, _ in models]
+        first, terms = min(f.dates[0] for _, f in models), [(d, of(f)) for d, (_, f) in zip(days, models)]
+        days = days[: len(terms)]
+    else:
+        (first, last), days, terms = model.dates, ref_dates, of(model)
+    if days is None:
         refs = m.panel.select(F.col("date").alias("ref_date")).distinct().where(F.col("ref_date").between(F.lit(first), F.lit(last)))
     else:
-        if min(map(str, ref_dates)) < str(first):
+        if min(map(str, days)) < str(first):
             raise ValueError("a reference date lies before the first date of the sample")
-        refs = spark.createDataFrame([(str(d),) for d in ref_dates], "d string").select(F.col("d").cast("date").alias("ref_date")).distinct()
+        refs = spark.createDataFrame([(str(d),) for d in days], "d string").select(F.col("d").cast("date").alias("ref_date")).distinct()
         if not refs.join(m.panel.select(F.col("date").alias("ref_date")), "ref_date", "left_anti").isEmpty():
             raise ValueError("a reference date isn't in the panel")
-    coef = coefficient_frame(spark, model.coef[factor] if factor is not None else next(iter(model.coef.values())))
-    weighted = m.document_weights
+    coef, base = coefficient_frame(spark, terms), coefficient_frame(spark, terms, m)
+    weighted = m.base_weights
     grid = date_grid(weighted, m.control.by, m.control.fill)
     weights = _weights_frame(spark, m.time_weights)
     windows = lag_windows(grid, refs, m.control.lag)
     wrap = normalized if normalize else lambda f: f
     return Attributions(
-        by_document(weighted, coef, windows, weights),
-        wrap(by_lag(weighted, coef, windows, weights, grid, m.control.fill)) if lags else None,
+        (by_document_each if isinstance(model, IterativeModel) else by_document)(weighted, base, windows, weights),
+        wrap(by_lag(weighted, base, windows, weights, grid, m.control.fill)) if lags else None,
         *(wrap(by_dimension(m.panel, coef, refs, d)) for d in SERIES),
     )
-
-
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

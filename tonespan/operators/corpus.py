@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread
 
 RESERVED = ("id", "sentence_id", "date", "word_count", "texts")
 DUMMY = "dummyFeature"
@@ -76,18 +77,21 @@ def build(df: DataFrame, clean: bool = False) -> DataFrame:
 def add_features(corpus: DataFrame, features: DataFrame | Mapping[str, float] | None = None, keywords: Mapping[str, Sequence[str] | str] | None = None, binary: bool | Mapping[str, bool] = True, regex: bool | Mapping[str, bool] = False) -> DataFrame:
     """The corpus with more features; one of the same name replaces the old one.
 
-    ``features`` is a frame with id (joined by it) or constants for all documents; what isn't numeric is skipped with a
-    warning.  ``keywords`` names words, or a pattern with ``regex``; texts with any of them get 1, or their count without
-    ``binary``, moved to [0, 1].  A keyword that no text has makes a feature of nulls, which :func:`drop_empty` removes.
+    ``features`` is a frame with id (joined by it) or constants for all documents; what isn't numeric or leaves [0, 1] is
+    skipped with a warning (an aggregate over the frame tells).  ``keywords`` names words, or a pattern with ``regex``; texts
+    with any of them get 1, or their count without ``binary``, moved to [0, 1]; a feature that all texts have alike becomes null.
+    A keyword that no text has is skipped with a warning (one scan of the texts tells, for all keywords).
     """
     if isinstance(features, DataFrame):
         good = [c for c in numeric(features) if c != "id"]
-        skipped = [c for c in features.columns if c not in good and c != "id"]
+        ends = features.agg(*(e(c).alias(f"{k}{i}") for i, c in enumerate(good) for k, e in (("lo", F.min), ("hi", F.max)))).first() if good else {}
+        inside = [c for i, c in enumerate(good) if (ends[f"lo{i}"] is None or ends[f"lo{i}"] >= 0) and (ends[f"hi{i}"] is None or ends[f"hi{i}"] <= 1)]
+        skipped = [c for c in features.columns if c not in inside and c != "id"]
         if skipped:
-            warnings.warn(f"skipped, as not numeric: {', '.join(skipped)}", stacklevel=2)
-        check_names(good)
-        sure = [F.when((F.col(c) >= 0) & (F.col(c) <= 1), F.col(c).cast("double")).otherwise(F.when(F.col(c).isNotNull(), F.raise_error(F.lit(f"feature {c} leaves [0, 1]")).cast("double"))).alias(c) for c in good]
-        corpus = corpus.drop(*good).join(features.select(F.col("id").cast("string").alias("id"), *sure), "id", "left")
+            warnings.warn(f"skipped, as not numeric or beyond [0, 1]: {', '.join(skipped)}", stacklevel=2)
+        check_names(inside)
+        if inside:
+            corpus = corpus.drop(*inside).join(features.select(F.col("id").cast("string").alias("id"), *(F.col(c).cast("double").alias(c) for c in inside)), "id", "left")
     elif features:
         for c, x in features.items():
             if not 0 <= x <= 1:
@@ -96,26 +100,23 @@ def add_features(corpus: DataFrame, features: DataFrame | Mapping[str, float] |
                 check_names([c])
                 corpus = corpus.withColumn(c, F.lit(float(x)))
     if keywords:
-        check_names(list(keywords))
+        named = {k.replace(" ", "_"): k for k in keywords}
+        check_names(list(named))
         of = lambda flag, k: flag[k] if isinstance(flag, Mapping) else flag
-        for c, words in keywords.items():
-            pattern = T.keyword_pattern(words if isinstance(words, str) else list(words), of(regex, c))
-            hits = F.col("texts").rlike(pattern).cast("double") if of(binary, c) else F.regexp_count("texts", F.lit(pattern)).cast("double")
-            corpus = corpus.withColumn(c, hits)
-        counted = [c for c in keywords if not of(binary, c)]
-        corpus = _rescaled(corpus, counted, always=True)
+        hits: dict[str, Column] = {}
+        for c, k in named.items():
+            words = keywords[k]
+            pattern = T.keyword_pattern(words if isinstance(words, str) else list(words), of(regex, k))
+            hits[c] = F.col("texts").rlike(pattern).cast("double") if of(binary, k) else F.regexp_count("texts", F.lit(pattern)).cast("double")
+        top = spread(corpus.select("id", "texts")).agg(*(F.max(h).alias(c) for c, h in hits.items())).first()
+        absent = [c for c in hits if not top[c]]
+        if absent:
+            warnings.warn(f"occur in no document, not added: {', '.join(absent)}", stacklevel=2)
+        found = [c for c in hits if top[c]]
+        corpus = _rescaled(corpus.withColumns({c: hits[c] for c in found}), found, always=True)
     return corpus
 
 
-def drop_empty(corpus: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Without those of the named features that are 0 or missing in all documents (one aggregate decides)."""
-    top = corpus.agg(*(F.max(c).alias(c) for c in names)).first()
-    gone = [c for c in names if not top[c]]
-    if gone:
-        warnings.warn(f"occur in no document: {', '.join(gone)}", stacklevel=2)
-    return corpus.drop(*gone)
-
-
 def remove_features(corpus: DataFrame, names: Sequence[str]) -> DataFrame:
     if "date" in names or set(names) - set(feature_names(corpus)):
         raise ValueError("only features can be removed")
@@ -133,7 +134,7 @@ def period(date: Column, by: str) -> Column:
 def summarize(corpus: DataFrame, by: str = "day", features: Sequence[str] | None = None) -> DataFrame:
     """By period: documents, total, mean, least and most tokens, and documents of each feature."""
     feats = list(features) if features is not None else feature_names(corpus)
-    rows = corpus.select(period(F.col("date"), by).alias("date"), F.size(T.tokens(F.coalesce("texts", F.lit("")))).alias("__n"), *feats)
+    rows = spread(corpus.select("id", "date", "texts", *feats)).select(period(F.col("date"), by).alias("date"), F.size(T.tokens(F.coalesce("texts", F.lit("")))).alias("__n"), *feats)
     return rows.groupBy("date").agg(
         F.count("*").alias("documents"), F.sum("__n").alias("totalTokens"), F.avg("__n").alias("meanTokens"), F.min("__n").cast("bigint").alias("minTokens"),
         F.max("__n").cast("bigint").alias("maxTokens"), *(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in feats),

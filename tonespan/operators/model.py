@@ -22,6 +22,7 @@ from ..session import ship
 from . import elasticnet as E
 from .aggregation import SERIES
 from .panel import series_name
+from .scoring import checked_cores
 
 FAMILIES, CRITERIA = ("gaussian", "binomial", "multinomial"), ("BIC", "AIC", "Cp", "cv")
 #: Cells of a panel that may be collected for fitting.
@@ -46,8 +47,10 @@ class ModelControl:
     test_window: int | None = None
     start: int = 1
     shrink_x: tuple[bool, ...] | bool = False
+    cores: int | None = None
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "cores", checked_cores(self.cores))
         wrong = []
         if self.model not in FAMILIES:
             wrong.append(f"model must be one of {', '.join(FAMILIES)}")
@@ -93,6 +96,15 @@ class Model:
         rows = [(k, t, float(v)) for k, c in self.coef.items() for t, v in (("(Intercept)", self.intercept[k]), *c.items())]
         return spark.createDataFrame(rows, "class string, term string, coef double")
 
+    def summary(self) -> str:
+        """How the model was specified and calibrated, and its coefficients that aren't 0 (their number by class, if multinomial)."""
+        how = (self.criterion or {}).get("criterion", "cv")
+        lines = [f"model type: {self.family}", f"calibration: {'cross-validation' if how == 'cv' else how + ' information criterion'}", f"sample: {self.dates[0]} to {self.dates[1]}", f"alpha: {self.alpha:.2f}", f"lambda: {self.lam:.2f}"]
+        if self.family == "multinomial":
+            return "\n".join([*lines, *(f"{k}: {len(c)} coefficients" for k, c in self.nonzero().items())])
+        kept = {"(Intercept)": next(iter(self.intercept.values())), **next(iter(self.nonzero().values()))}
+        return "\n".join([*lines, *(f"{t}: {v:.6g}" for t, v in kept.items())])
+
     def nonzero(self) -> dict[str, dict[str, float]]:
         return {k: {t: v for t, v in c.items() if v != 0} for k, c in self.coef.items()}
 
@@ -138,15 +150,6 @@ def align(x: np.ndarray, y: np.ndarray, dates: Sequence, h: int = 0, difference:
     return x, y, list(dates)
 
 
-def aligned(panel: DataFrame, y: DataFrame, h: int = 0, difference: bool = False) -> DataFrame:
-    """The same with windows: (date, response, lexicon, feature, time, value) from a panel and (date, y), which have the same dates."""
-    w = Window.orderBy("date")
-    lead = F.lead("y", h).over(w) if h >= 0 else F.lag("y", -h).over(w)
-    response = lead - F.col("y") if difference and h > 0 else F.col("y") - F.lag("y", -h).over(w) if difference and h < 0 else lead
-    moved = y.select("date", response.alias("response")).where("response is not null")
-    return panel.join(moved, "date").select("date", "response", *SERIES, F.coalesce("value", F.lit(0.0)).alias("value"))
-
-
 def discard(x: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     """Which columns repeat an earlier one, or are 0 in more than ``threshold`` of the rows."""
     seen: set[bytes] = set()
@@ -158,14 +161,6 @@ def discard(x: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     return out
 
 
-def cleaned(panel: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(lexicon, feature, time, discarded): the same as aggregates; of equal series the first by name stays."""
-    rows = panel.withColumn("__v", F.coalesce("value", F.lit(0.0)) + F.lit(0.0))
-    series = rows.groupBy(*SERIES).agg(F.avg(F.when(F.col("__v") == 0, 1.0).otherwise(0.0)).alias("zeros"), F.sort_array(F.collect_list(F.struct("date", "__v"))).alias("__all"))
-    rank = F.row_number().over(Window.partitionBy("__all").orderBy(*SERIES))
-    return series.withColumn("__r", rank).select(*SERIES, ((F.col("zeros") > threshold) | (F.col("__r") > 1)).alias("discarded"))
-
-
 def cv_slices(n: int, train: int, test: int = 1, skip: int = 0, reverse: bool = False) -> list[tuple[range, range]]:
     """Training and test rows (from 1) of each rolling origin."""
     if train + skip + test >= n:
@@ -175,12 +170,6 @@ def cv_slices(n: int, train: int, test: int = 1, skip: int = 0, reverse: bool =
     return [(range(s - train + 1, s + 1), range(s + skip + 1, s + skip + test + 1)) for s in range(train, n - skip - test + 1)]
 
 
-def cv_table(spark: SparkSession, n: int, train: int, test: int = 1, skip: int = 0) -> DataFrame:
-    """(slice, train_from, train_to, test_from, test_to), rows from 1."""
-    last = F.col("id") + F.lit(train)
-    return spark.range(max(n - skip - test - train + 1, 0)).select((F.col("id") + 1).alias("slice"), (last - train + 1).alias("train_from"), last.alias("train_to"), (last + skip + 1).alias("test_from"), (last + skip + test).alias("test_to"))
-
-
 def _fit(family: str, x: np.ndarray, y: np.ndarray, alpha: float, lambdas: Sequence[float] | None, penalty: np.ndarray, intercept: bool, classes: int) -> E.Path:
     return E.gaussian(x, y, alpha, lambdas, penalty, intercept) if family == "gaussian" else E.logistic(x, y, alpha, lambdas, penalty, intercept, classes)
 
@@ -322,6 +311,16 @@ class IterativeModel:
     def lambdas(self) -> list[float]:
         return [m.lam for m in self.models.values()]
 
+    def summary(self) -> str:
+        """How the models were specified, and how their forecasts did."""
+        first = next(iter(self.models.values()))
+        rows = [f"{k}: {v:.2f}" for k, v in self.figures.items()]
+        return "\n".join([f"model type: {first.family}", f"forecasts: {len(self.models)}", f"mean alpha: {np.mean(self.alphas()):.2f}", f"mean lambda: {np.mean(self.lambdas()):.2f}", *rows])
+
+    def plot_frame(self) -> pd.DataFrame:
+        """(date, variable, value) for drawing realized and predicted values."""
+        return self.performance.rename(columns={"response": "realized", "predicted": "prediction"}).melt("date", ["realized", "prediction"])
+
 
 def _iterative(spark: SparkSession, d: Inputs, c: ModelControl) -> IterativeModel:
     """A row for each window; each is fitted where its row is."""
@@ -376,14 +375,6 @@ def accuracy(raw: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, float]]:
     return raw, {"accuracy": float(raw.accuracy.mean() * 100)}
 
 
-def performance_of(forecasts: DataFrame) -> DataFrame:
-    """The same with windows, from (date, response, predicted)."""
-    w = Window.orderBy("date")
-    change = lambda c: F.signum(F.col(c) - F.lag(c).over(w))
-    e = F.col("predicted") - F.col("response")
-    return forecasts.select("date", "response", "predicted", (change("response") == change("predicted")).cast("double").alias("DA"), e.alias("error"), (e * e).alias("errorSq"), F.abs(e).alias("AD"))
-
-
 def loss_table(models: Mapping[str, IterativeModel], loss: str = "errorSq") -> pd.DataFrame:
     """Losses by date (rows) and model; DA and accuracy turn into 1 - value, and DA loses the first row."""
     if loss not in ("DA", "errorSq", "AD", "accuracy"):

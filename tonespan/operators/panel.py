@@ -49,19 +49,38 @@ def grouped(panel: DataFrame, lexicons: Mapping[str, Sequence[str]] | None = Non
         for name, members in (groups or {}).items():
             if len(members) < 2 or len(set(members)) < len(members):
                 raise ValueError(f"group {name} needs at least two components, none twice")
-            others = [d for d in SERIES if d != dim]
-            mine = panel.where(F.col(dim).isin(list(members)))
-            whole = mine.groupBy(*others).agg(F.countDistinct(dim).alias("__k")).where(F.col("__k") == len(members)).select(*others, F.count("*").over(Window.partitionBy()).alias("__n"))
-            taken = mine.join(whole, others)
-            mean = F.when((F.col("__n") >= 2) | (F.count("value") == F.count("*")), F.avg("value"))
-            new = taken.groupBy("date", *others, "__n").agg(mean.alias("value")).withColumn(dim, F.lit(name)).select(panel.columns)
-            rest = panel.join(whole.select(*others, F.lit(True).alias("__in")), others, "left").where(~(F.col(dim).isin(list(members)) & F.coalesce("__in", F.lit(False)))).select(panel.columns)
-            panel = rest.unionByName(new)
+        for layer in _layers(groups or {}):
+            panel = _merged(panel, dim, layer)
     if keep:
         panel = panel.unionByName(before.join(panel.select(*SERIES).distinct(), list(SERIES), "left_anti").select(panel.columns))
     return panel
 
 
+def _layers(groups: Mapping[str, Sequence[str]]) -> list[dict[str, Sequence[str]]]:
+    """Groups in their order, in as few layers of groups without common members as this order allows."""
+    layers: list[dict] = []
+    for name, members in groups.items():
+        if not layers or {m for g in layers[-1].values() for m in g} & set(members):
+            layers.append({})
+        layers[-1][name] = members
+    return layers
+
+
+def _merged(panel: DataFrame, dim: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One reading of the panel for all groups: which series a group can merge is told by windows over the panel itself."""
+    others = [d for d in SERIES if d != dim]
+    of = F.create_map(*(F.lit(v) for name, members in groups.items() for m in members for v in (m, name)))
+    size = F.create_map(*(F.lit(v) for name, members in groups.items() for v in (name, len(members))))
+    rows = panel.withColumn("__g", of[F.col(dim)])
+    rows = rows.withColumn("__k", F.size(F.collect_set(dim).over(Window.partitionBy("__g", *others))))
+    rows = rows.withColumn("__in", F.coalesce(F.col("__k") == size[F.col("__g")], F.lit(False)))
+    target = F.when(F.col("__in"), F.struct(*others))
+    rows = rows.withColumn("__n", F.size(F.collect_set(target).over(Window.partitionBy("__g"))))
+    name = F.when(F.col("__in"), F.col("__g")).otherwise(F.col(dim)).alias("__name")
+    mean = F.when((F.max("__n") >= 2) | (F.count("value") == F.count("*")), F.avg("value"))
+    return rows.groupBy("date", *others, name, "__in").agg(mean.alias("value")).withColumnRenamed("__name", dim).select(panel.columns)
+
+
 def check_groups(panel: DataFrame, **groups: Mapping[str, Sequence[str]] | None) -> None:
     """Fails if a named member is no component of its dimension (one small job for all)."""
     for kind, given in groups.items():
@@ -191,15 +210,49 @@ class Measures:
     panel: DataFrame
     sentiment: DataFrame
     control: Aggregation
+    #: (dimension, name, members) of the groups that were made, in their order.
+    groups: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
 
     @cached_property
     def time_weights(self) -> dict[str, list[float]]:
-        return self.control.time_weights()
+        """Weights by scheme, the first of the most lagged place; a group's are the means of its members', and the panel's schemes stay."""
+        out = self.control.time_weights()
+        for dim, name, members in self.groups:
+            if dim == "time":
+                out[name] = [sum(ws) / len(members) for ws in zip(*(out[m] for m in members))]
+        have = set(self.dimensions()["time"]) if self.groups else set(out)
+        return {k: w for k, w in out.items() if k in have}
 
     @property
-    def document_weights(self) -> DataFrame:
+    def base_weights(self) -> DataFrame:
+        """Document weights of the series that texts were scored for."""
         return A.document_weights(self.sentiment, self.control.docs, self.control.by, self.control.ignore_zeros)
 
+    @property
+    def document_weights(self) -> DataFrame:
+        """(id, date, lexicon, feature, w) of the panel's lexicons and features: a group's weights are the means of its members' (missing ones 0), scaled to a sum of 1 by period."""
+        w = self.base_weights.select("id", "date", "lexicon", "feature", "w")
+        for dim, name, members in self.groups:
+            if dim == "time":
+                continue
+            other = "lexicon" if dim == "feature" else "feature"
+            mine = w.where(F.col(dim).isin(list(members))).groupBy("id", "date", other).agg((F.sum(F.coalesce("w", F.lit(0.0))) / len(members)).alias("w"))
+            total = mine.groupBy("date", other).agg(F.sum("w").alias("__t"))
+            mine = mine.join(total, ["date", other]).select("id", "date", other, F.lit(name).alias(dim), F.try_divide("w", "__t").alias("w"))
+            w = w.unionByName(mine)
+        return w.join(self.panel.select("lexicon", "feature").distinct(), ["lexicon", "feature"], "left_semi") if self.groups else w
+
+    def members(self, dim: str, name: str) -> dict[str, float]:
+        """The components that a component of the panel is the mean of, with their shares: itself, unless it is a group."""
+        made = {(d, n): m for d, n, m in self.groups}
+        if (dim, name) not in made:
+            return {name: 1.0}
+        out: dict[str, float] = {}
+        for m in made[dim, name]:
+            for base, share in self.members(dim, m).items():
+                out[base] = out.get(base, 0.0) + share / len(made[dim, name])
+        return out
+
     def with_panel(self, panel: DataFrame) -> Measures:
         return replace(self, panel=panel)
 
@@ -241,7 +294,8 @@ class Measures:
 
     def aggregate(self, lexicons: Mapping | None = None, features: Mapping | None = None, time: Mapping | None = None, keep: bool = False) -> Measures:
         check_groups(self.panel, lexicons=lexicons, features=features, time=time)
-        return self.with_panel(grouped(self.panel, lexicons, features, time, keep))
+        made = tuple((dim, name, tuple(m)) for dim, given in (("feature", features), ("lexicon", lexicons), ("time", time)) for name, m in (given or {}).items())
+        return replace(self, panel=grouped(self.panel, lexicons, features, time, keep), groups=self.groups + made)
 
     def fill(self, fill: str = "zero", before: str | None = None, after: str | None = None) -> Measures:
         return self.with_panel(A.filled(self.panel, self.control.by, fill, before, after))
@@ -259,13 +313,23 @@ class Measures:
         """Scores the documents whose ids are new and aggregates again; the lexicons must be the same."""
         if set(self.dimensions()["lexicons"]) != set(lexicons):
             raise ValueError("the lexicons are not those of the panel")
-        new = corpus.join(self.sentiment.select("id").distinct(), "id", "left_anti")
-        scored = to_documents(sentiment(new, lexicons, self.control.within, self.control.sentence, self.control.tokens, feature_names(corpus) or None), self.control)
-        return aggregate(self.sentiment.unionByName(scored), self.control)
+        scored = sentiment(corpus.join(self.sentiment.select("id").distinct(), "id", "left_anti"), lexicons, self.control.within, self.control.sentence, self.control.tokens, feature_names(corpus) or None)
+        return aggregate(self.sentiment.unionByName(to_documents(scored, self.control)), self.control)
+
+    def updated(self, scored: DataFrame) -> Measures:
+        """The same from sentiment of documents; those whose ids are known already are left out."""
+        new = scored.join(self.sentiment.select("id").distinct(), "id", "left_anti").select(self.sentiment.columns)
+        return aggregate(self.sentiment.unionByName(new), self.control)
 
     def summary(self) -> str:
+        """What the panel is made of and how, and the averages of its series' statistics."""
         dims = self.dimensions()
-        return "\n".join([f"{self.n_measures()} series of {self.n_obs()} dates", *(f"{k}: {', '.join(v)}" for k, v in dims.items()), f"{self.control.docs} over documents by {self.control.by}, {', '.join(self.control.time)} over time, lag {self.control.lag}, fill {self.control.fill}"])
+        s = stats(self.panel).agg(*(F.avg(c).alias(c) for c in ("mean", "sd", "max", "min", "meanCorr"))).first()
+        return "\n".join([
+            f"{self.n_measures()} series of {self.n_obs()} dates by {self.control.by}", *(f"{k}: {', '.join(v)}" for k, v in dims.items()),
+            f"{self.control.within} within documents, {self.control.docs} over documents, {', '.join(self.control.time)} over time, lag {self.control.lag}, fill {self.control.fill}",
+            "averages: " + ", ".join(f"{k} {'-' if v is None else f'{v:.5f}'}" for k, v in s.asDict().items()),
+        ])
 
 
 def to_documents(sent: DataFrame, control: Aggregation) -> DataFrame:
@@ -282,5 +346,7 @@ def aggregate(sent: DataFrame, control: Aggregation) -> Measures:
 
 
 def measures(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], control: Aggregation) -> Measures:
-    """From texts to the panel."""
+    """From texts to the panel; component names are checked before anything runs."""
+    names = [n for lex in lexicons.values() for n in lex] if not isinstance(lexicons, Lexicons) else list(lexicons)
+    A.check_component_names(names, [c for c in feature_names(corpus) if c != control.tokens] or ["dummyFeature"], list(control.time_weights()))
     return aggregate(sentiment(corpus, lexicons, control.within, control.sentence, control.tokens), control)

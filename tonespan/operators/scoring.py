@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 import zlib
 from collections.abc import Mapping
 
@@ -18,16 +19,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.weights import WITHIN
+from ..session import spread
 from .lexicons import Lexicons
 
 _ENTRY = "h: boolean, v: double, s: array<double>, f: double, p: boolean"
 
 
-def _entries(lexicons: Lexicons, idf: Mapping[str, float] | None) -> dict[str, dict]:
-    scores, shifters = lexicons.word_map(), dict(lexicons.valence.values) if lexicons.valence else {}
-    out = {w: {"h": True, "v": shifters.get(w), "s": s, "f": (idf or {}).get(w), "p": w == T.COMMA} for w, s in scores.items()}
-    for w in {*shifters, T.COMMA} - set(scores):
-        out[w] = {"h": False, "v": shifters.get(w), "s": [], "f": None, "p": w == T.COMMA}
+#: Between a language and a word in the look-up of corpora of several languages.
+_MARK = "\u0001"
+
+
+def _by_language(lexicons: Lexicons | Mapping[str, Lexicons]) -> dict[str, Lexicons]:
+    """Lexicons by what is put before their words: nothing, or the language and a mark."""
+    return {"": lexicons} if isinstance(lexicons, Lexicons) else {f"{lang}{_MARK}": lex for lang, lex in lexicons.items()}
+
+
+def _entries(lexicons: Lexicons | Mapping[str, Lexicons], idf: Mapping[str, float] | None) -> dict[str, dict]:
+    """What is known of each word; the scores of a language's words are 0 in the others' lexicons."""
+    parts, out, before = _by_language(lexicons), {}, 0
+    total = sum(map(len, parts.values()))
+    for prefix, lex in parts.items():
+        scores, shifters = lex.word_map(), dict(lex.valence.values) if lex.valence else {}
+        for w, s in scores.items():
+            out[prefix + w] = {"h": True, "v": shifters.get(w), "s": [0.0] * before + s + [0.0] * (total - before - len(s)), "f": (idf or {}).get(prefix + w), "p": w == T.COMMA}
+        for w in {*shifters, T.COMMA} - set(scores):
+            out[prefix + w] = {"h": False, "v": shifters.get(w), "s": [], "f": None, "p": w == T.COMMA}
+        before += len(lex)
     return out
 
 
@@ -81,11 +98,10 @@ def _sentence_impact(window: str) -> str:
     )
 
 
-def _folded(how: str, lexicons: Lexicons, sentence: bool) -> str:
+def _folded(how: str, size: int, kind: str | None, sentence: bool) -> str:
     """A struct of norm, s (sums by lexicon) and c (tokens with a score, by lexicon, each time they are touched)."""
-    size = len(lexicons)
     zero = f"array_repeat(0D, {size})"
-    if lexicons.kind == "t" and not sentence:
+    if kind == "t" and not sentence:
         window = "sequence(greatest(a.next, j - 4), least(__n, j + 3) - 1)"
         touched = f"filter({window}, k -> k = j or coalesce(get(__x, k).h, false))"
         w = _weight(how, "k", "j")
@@ -96,8 +112,8 @@ def _folded(how: str, lexicons: Lexicons, sentence: bool) -> str:
             "'c', transform(a.c, (v, l) -> v + size(filter(q.t, k -> get(get(__x, k).s, l) <> 0D)))))[0]"
         )
         return f"aggregate(__h, named_struct('next', 0, 'norm', 0D, 's', {zero}, 'c', {zero}), (a, j) -> if(j < a.next, a, {update}))"
-    if lexicons.kind == "t":
-        end = "coalesce(array_min(filter(__p, m -> m >= least(__n, j + 3))), least(__n, j + 3))"
+    if kind == "t":
+        end = "if(locate('1', __p, least(__n, j + 3) + 1) > 0, locate('1', __p, least(__n, j + 3) + 1) - 1, least(__n, j + 3))"  # a search no longer than the window
         windows = f"transform(__h, j -> transform(array({end}), e -> named_struct('j', j, 'st', greatest(0, j - 5), 'en', e))[0])"
         span = "sequence(w.st, w.en - 1)"
         per = (
@@ -112,10 +128,10 @@ def _folded(how: str, lexicons: Lexicons, sentence: bool) -> str:
             f"'s', transform({zero}, (v, l) -> aggregate(ww, 0D, (a, q) -> a + q.i * get(get(__x, q.j).s, l) * {last})), "
             f"'c', transform({zero}, (v, l) -> aggregate(ww, 0D, (a, q) -> a + size(filter(q.t, k -> get(get(__x, k).s, l) <> 0D))))))[0]"
         )
-    shift = "coalesce(get(__x, greatest(k - 1, 0)).v, 1D) * " if lexicons.kind == "y" else ""
+    shift = "coalesce(get(__x, greatest(k - 1, 0)).v, 1D) * " if kind == "y" else ""
     w = _weight(how, "k", "k")
     times = "" if w == "1D" else f" * {w}"
-    norm = "0D" if w == "1D" or how == "TFIDF" else _all_weights(how) if lexicons.kind is None and not sentence else f"aggregate(__h, 0D, (a, k) -> a + {w})"
+    norm = "0D" if w == "1D" or how == "TFIDF" else _all_weights(how) if kind is None and not sentence else f"aggregate(__h, 0D, (a, k) -> a + {w})"
     sums = ", ".join(f"aggregate(__h, 0D, (a, k) -> a + {shift}get(get(__x, k).s, {m}){times})" for m in range(size))
     counts = ", ".join(f"cast(size(filter(__h, k -> get(get(__x, k).s, {m}) <> 0D)) as double)" for m in range(size))
     return f"named_struct('norm', {norm}, 's', array({sums}), 'c', array({counts}))"
@@ -132,69 +148,105 @@ def _final(how: str) -> str:
     }.get(how, f"if(get(__r.c, l) = 0D, 0D, try_divide({v}, __r.norm))")
 
 
-def inverse_frequencies(df: DataFrame, tokens: str, lexicons: Lexicons) -> dict[str, float]:
-    """log10(N / (1 + documents with the word)) for the words of the lexicons (at most as many rows as these have words)."""
-    words = F.array(*map(F.lit, lexicons.word_map()))
-    n = df.count()
-    rows = df.select(F.explode(F.array_intersect(tokens, words)).alias("w")).groupBy("w").count().collect()
-    return {r.w: math.log10(n / (1 + r["count"])) for r in rows}
+def inverse_frequencies(df: DataFrame, tokens: str, lexicons: Lexicons | Mapping[str, Lexicons], language: str | None = None) -> dict[str, float]:
+    """log10(N / (1 + documents with the word)) for the words of the lexicons, N and documents those of the word's language.
+
+    One aggregate: each document counts once for the empty word, and for each word of the lexicons that it has.
+    """
+    prefixes = _by_language(lexicons)
+    words = F.array(*(F.lit(p + w) for p, lex in prefixes.items() for w in lex.word_map()))
+    everyone = F.array(F.concat(F.col(language), F.lit(_MARK)) if language else F.lit(""))
+    rows = df.select(F.explode(F.concat(everyone, F.array_intersect(tokens, words))).alias("w")).groupBy("w").count().collect()  # at most as many as the lexicons have words
+    counts = {r.w: r["count"] for r in rows}
+    return {p + w: math.log10(counts[p] / (1 + counts[p + w])) for p, lex in prefixes.items() for w in lex.word_map() if p + w in counts}
 
 
-def scored(df: DataFrame, tokens: str, lexicons: Lexicons, how: str = "proportional", sentence: bool = False) -> DataFrame:
+def scored(df: DataFrame, tokens: str, lexicons: Lexicons | Mapping[str, Lexicons], how: str = "proportional", sentence: bool = False, language: str | None = None) -> DataFrame:
     """df with word_count and scores (an array in the order of the lexicons) from the array column ``tokens``.
 
-    Null tokens count as none.  A score is null where its weights sum to zero.
+    Null tokens count as none.  A score is null where its weights sum to zero.  With lexicons by language, the column
+    ``language`` tells which ones are a row's own; the others score 0.
     """
     if how not in WITHIN:
         raise ValueError(f"unknown scheme {how!r}; choose one of {WITHIN}")
-    idf = inverse_frequencies(df, tokens, lexicons) if how == "TFIDF" else None
-    df = df.withColumn("__x", looked_up(F.coalesce(F.col(tokens), F.array().cast("array<string>")), _entries(lexicons, idf)))
+    parts = _by_language(lexicons).values()
+    size, kinds = sum(map(len, parts)), {lex.kind for lex in parts}
+    if len(kinds) > 1:
+        raise ValueError("the lexicons of all languages must have shifters of one kind, or none")
+    kind = kinds.pop()
+    words = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    if language:
+        words = F.transform(words, lambda t: F.concat(F.col(language), F.lit(_MARK), t))
+    df = df.withColumn(tokens, words)
+    idf = inverse_frequencies(df, tokens, lexicons, language) if how == "TFIDF" else None
+    df = df.withColumn("__x", looked_up(F.col(tokens), _entries(lexicons, idf)))
     df = df.withColumn("__n", F.size("__x")).withColumn("__h", F.expr("filter(transform(__x, (e, k) -> if(e.h, k, null)), k -> k is not null)"))
-    if sentence and lexicons.kind == "t":
-        df = df.withColumn("__p", F.expr("filter(transform(__x, (e, k) -> if(e.p, k, null)), k -> k is not null)"))
-    df = df.withColumn("__r", F.expr(_folded(how, lexicons, sentence)))
-    df = df.withColumn("scores", F.expr(f"transform(sequence(0, {len(lexicons) - 1}), l -> {_final(how)})"))
+    if sentence and kind == "t":
+        df = df.withColumn("__p", F.expr("array_join(transform(__x, e -> if(e.p, '1', '0')), '')"))
+    df = df.withColumn("__r", F.expr(_folded(how, size, kind, sentence)))
+    df = df.withColumn("scores", F.expr(f"transform(sequence(0, {size - 1}), l -> {_final(how)})"))
     return df.withColumn("word_count", F.col("__n").cast("double")).drop("__x", "__n", "__h", "__p", "__r", tokens)
 
 
-def sentiment(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], how: str = "proportional", sentence: bool = False, tokens: str | None = None, features: list[str] | None = None) -> DataFrame:
+def checked_cores(n: int | None) -> int | None:
+    """Spark decides how much runs at once; the number is checked only: one below 1 becomes 1, with a warning."""
+    if n is not None and n < 1:
+        warnings.warn("the number of cores is set to 1", stacklevel=3)
+        return 1
+    return n
+
+
+def sentiment(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], how: str = "proportional", sentence: bool = False, tokens: str | None = None, features: list[str] | None = None, cores: int | None = None) -> DataFrame:
     """Long sentiment: id, [sentence_id,] [date,] word_count, lexicon, feature, score.
 
     ``corpus`` has id, texts (or the array column named by ``tokens``: words, or sentences of words), and may have date,
     language and feature columns (all other numeric columns by default; a lone 1 if there is none).  With a mapping of
-    languages to lexicons, each document is scored with its own language's lexicons and 0 for the others.
+    languages to lexicons, each document is scored with its own language's lexicons and 0 for the others, all in one pass;
+    the query fails at a document of a language without lexicons.
     """
-    if not isinstance(lexicons, Lexicons):
-        return _many_languages(corpus, lexicons, how, sentence, tokens, features)
+    checked_cores(cores)
+    many = not isinstance(lexicons, Lexicons)
+    names = [n for lex in lexicons.values() for n in lex] if many else list(lexicons)
+    if len(set(names)) < len(names):
+        raise ValueError("names of lexicons must be unique across languages")
+    if many and "language" not in corpus.columns:
+        raise ValueError("the corpus has no column 'language'")
+    if many and len({lex.kind for lex in lexicons.values()}) > 1:
+        return _by_kind(corpus, lexicons, names, how, sentence, tokens, features)
     reserved = {"id", "date", "texts", "language", "sentence_id", "word_count", tokens}
     feats = features if features is not None else [c for c, t in corpus.dtypes if c not in reserved and (t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal"))]
     values = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in feats] or [F.struct(F.lit("dummyFeature").alias("feature"), F.lit(1.0).alias("x"))]
     keys = ["id", *(["date"] if "date" in corpus.columns else [])]
-    toks = F.col(tokens) if tokens else T.sentence_tokens(F.col("texts")) if sentence else T.tokens(F.col("texts"))
-    df = corpus.select(*keys, F.array(*values).alias("__f"), toks.alias("__t"))
+    read = ["__f", *(["__lang"] if many else [])]
+    df = corpus.select(*keys, F.array(*values).alias("__f"), F.col(tokens or "texts").alias("__t"), *([F.col("language").alias("__lang")] if many else []))
+    df = spread(df)
+    toks = F.col("__t") if tokens else T.sentence_tokens(F.col("__t")) if sentence else T.tokens(F.col("__t"))
+    if many:
+        toks = F.when(F.col("__lang").isin(list(lexicons)), toks).otherwise(F.raise_error(F.concat(F.lit("no lexicons of language "), F.coalesce("__lang", F.lit("null")))).cast("array<array<string>>" if sentence else "array<string>"))
+    df = df.select(*keys, *read, toks.alias("__t"))
     if sentence:
-        df = df.select(*keys, "__f", F.posexplode("__t").alias("__s", "__t")).withColumn("sentence_id", F.col("__s") + 1).drop("__s")
+        df = df.select(*keys, *read, F.posexplode("__t").alias("__s", "__t")).withColumn("sentence_id", F.col("__s") + 1).drop("__s")
         keys = ["id", "sentence_id", *keys[1:]]
-    df = scored(df, "__t", lexicons, how, sentence)
-    named = F.arrays_zip(F.array(*map(F.lit, lexicons)).alias("lexicon"), F.col("scores").alias("score"))
+    df = scored(df, "__t", lexicons, how, sentence, "__lang" if many else None)
+    named = F.arrays_zip(F.array(*map(F.lit, names)).alias("lexicon"), F.col("scores").alias("score"))
     df = df.select(*keys, "word_count", "__f", F.explode(named).alias("__l")).select(*keys, "word_count", F.col("__l.lexicon").alias("lexicon"), F.col("__l.score").alias("__v"), F.explode("__f").alias("__g"))
     return df.select(*keys, "word_count", "lexicon", F.col("__g.feature").alias("feature"), (F.col("__v") * F.col("__g.x")).alias("score"))
 
 
-def _many_languages(corpus: DataFrame, lexicons: Mapping[str, Lexicons], how: str, sentence: bool, tokens: str | None, features: list[str] | None) -> DataFrame:
-    names = [n for lex in lexicons.values() for n in lex]
-    if len(set(names)) < len(names):
-        raise ValueError("names of lexicons must be unique across languages")
-    if "language" not in corpus.columns:
-        raise ValueError("the corpus has no column 'language'")
+def _by_kind(corpus: DataFrame, lexicons: Mapping[str, Lexicons], names: list[str], how: str, sentence: bool, tokens: str | None, features: list[str] | None) -> DataFrame:
+    """Languages whose shifters are of different kinds: a pass for each kind."""
+    kinds = list(dict.fromkeys(lex.kind for lex in lexicons.values()))
     parts = None
-    for lang, lex in lexicons.items():
-        own = sentiment(corpus.where(F.col("language") == lang), lex, how, sentence, tokens, features)
-        others = F.array(*(F.struct(F.lit(n).alias("lexicon"), F.lit(0.0).alias("score")) for n in names if n not in lex))
-        first = next(iter(lex))
-        if len(names) > len(lex):  # the other languages' lexicons, from the rows of one of this language's
-            keys = [c for c in own.columns if c not in ("lexicon", "score")]
-            zeros = own.where(F.col("lexicon") == first).select(*keys, F.inline(others)).select(own.columns)
-            own = own.unionAll(zeros)
-        parts = own if parts is None else parts.unionAll(own)
+    for kind in kinds:
+        own = {k: lex for k, lex in lexicons.items() if lex.kind == kind}
+        others = [k for k in lexicons if k not in own]
+        mine = F.col("language").isin(list(own)) if kind != kinds[-1] else ~F.coalesce(F.col("language").isin(others), F.lit(False))  # the last also meets unknown languages
+        got = sentiment(corpus.where(mine), own, how, sentence, tokens, features)
+        have = [n for lex in own.values() for n in lex]
+        zeros = F.array(*(F.struct(F.lit(n).alias("lexicon"), F.lit(0.0).alias("score")) for n in names if n not in have))
+        keys = [c for c in got.columns if c not in ("lexicon", "score")]
+        first = F.struct("lexicon", "score")
+        rows = F.when(F.col("lexicon") == have[0], F.concat(F.array(first), zeros)).otherwise(F.array(first))
+        got = got.select(*keys, F.inline(rows)).select(got.columns)
+        parts = got if parts is None else parts.unionAll(got)
     return parts

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..operators import model as M
 from ..operators import panel as P
 from ..operators.lexicons import Lexicons
 from ..operators.scoring import scored, sentiment
+from ..session import spread
 from . import base as B
 from .base import r6
 
@@ -95,7 +98,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("b1_tokens", f"with {B.CORPUS}, t as (select id, {B.tokens_sql('texts')} t from corpus) select id, len(t)::int as n, array_to_string(t, ' ') as tokens from t")
 def _(s: SparkSession, d: str) -> DataFrame:
-    t = B.corpus(s, d).select("id", T.tokens(F.col("texts")).alias("t"))
+    t = spread(B.corpus(s, d).select("id", "texts")).select("id", T.tokens(F.col("texts")).alias("t"))
     return t.select("id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -104,30 +107,20 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return B.corpus(s, d).select("id", F.posexplode(T.sentence_tokens(F.col("texts"))).alias("sentence", "tokens"))
 
 
-# --- lexicons: from the words of part names, weighted by retail price
+# --- lexicons
 
-_PARTS = "w as (select unnest(string_split(p_name, ' ')) x, p_retailprice - 1400 y from part)"
 
-
-def _part_words(s: SparkSession, d: str) -> DataFrame:
-    return B.table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("x"), (F.col("p_retailprice") - 1400).alias("y"))
-
-
-def lexicon_frame(rows: DataFrame) -> DataFrame:
-    """The rule of building lexicons as a query, for word lists that are tables: words that occur twice go, then lower case, phrases go."""
-    once = Window.partitionBy("x")
-    return rows.withColumn("__n", F.count("*").over(once)).where(F.col("__n") == 1).select(F.lower("x").alias("x"), "y").where(~F.col("x").rlike(r"\s"))
+def _lexicon_rows(s: SparkSession, lex: Lexicons) -> DataFrame:
+    return s.createDataFrame([(k, x, y) for k in lex for x, y in lex[k].items()], "lexicon string, x string, y double")
 
 
-@query("b4_lexicon_dedup", "with w as (select p_name || '' x, p_retailprice y from part union all select upper(substr(p_name, 1, 1)) || lower(p_brand), p_size from part) select lower(x) as x, round(y, 6) as y from w where x in (select x from w group by x having count(*) = 1) and not regexp_matches(x, '\\s')")
+@query("b4_lexicon_dedup", """with w as (select lower(n_name) x, n_nationkey::double y from nation union all select lower(n_name), 99 from nation where n_nationkey % 3 = 0 union all select r_name, r_regionkey + 0.5 from region union all select lower(r_name), 7 from region where r_regionkey = 2)
+select lower(x) as x, max_by(y, case when x = lower(x) then 1 else 0 end) as y from w where lower(x) not in (select x from w group by x having count(*) > 1) and not regexp_matches(x, '\\s') group by lower(x)""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    part = B.table(s, d, "part")
-    rows = part.select(F.col("p_name").alias("x"), F.col("p_retailprice").alias("y")).unionAll(part.select(F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower("p_brand")), F.col("p_size").cast("double")))
-    return lexicon_frame(rows).select("x", F.round("y", 6).alias("y"))
-
-
-def _lexicon_rows(s: SparkSession, lex: Lexicons) -> DataFrame:
-    return s.createDataFrame([(k, x, y) for k in lex for x, y in lex[k].items()], "lexicon string, x string, y double")
+    nation, region = B.table(s, d, "nation").orderBy("n_nationkey").collect(), B.table(s, d, "region").orderBy("r_regionkey").collect()
+    pairs = [(r.n_name.lower(), float(r.n_nationkey)) for r in nation] + [(r.n_name.lower(), 99.0) for r in nation if r.n_nationkey % 3 == 0]
+    pairs += [(r.r_name, r.r_regionkey + 0.5) for r in region] + [(r.r_name.lower(), 7.0) for r in region if r.r_regionkey == 2]
+    return s.createDataFrame([*Lexicons({"places": pairs})["places"].items()], "x string, y double")
 
 
 @query("b5_lexicon_split", f"with {B.lexicon_sql()} select lexicon || case when y > 0 then '_POS' else '_NEG' end as lexicon, word as x, y from lex where y <> 0")
@@ -165,8 +158,40 @@ for _how, _name in zip(W.WITHIN, ("counts", "proportional", "proportional_pol",
     if _name in ("counts", "proportional_pol", "exp", "tfidf"):
         query(f"c4_bigram_{_name}", f"with {B.scored_sql(_how, 'y', source=B.CORPUS)} {_FINAL}")(_unigram(_how, "y"))
 
-query("c5_cluster_counts")(_unigram("counts", "t"))
-query("c5_cluster_proportional_pol")(_unigram("proportionalPol", "t"))
+_SHIFT = f"val as (select * from {B.values([(r['x'], float(r['t'])) for r in B.VALENCE_T])} t(w, t))"
+#: Cluster scores: the chain of hits that are centres (the search goes on behind the window and the token after it), and their windows.
+_CLUSTERS = f"""with recursive {B.CORPUS}, {B.lexicon_sql()}, {_SHIFT}, toks as (select id, {B.tokens_sql('texts')} t from corpus),
+e as (select id, len(t) n, unnest(t) w, generate_subscripts(t, 1) - 1 k from toks), words as (select distinct word from lex),
+ent as materialized (select e.*, word is not null hit, case when word is null then val.t end v from e left join words on word = e.w left join val on val.w = e.w where word is not null or val.w is not null),
+nxt as materialized (select h.id, h.n, h.k, g.k nk from (select * from ent where hit) h asof left join (select * from ent where hit) g on h.id = g.id and h.k + 4 <= g.k),
+chain as (select nxt.id, nxt.n, nxt.k, 0::bigint lb, nk from nxt join (select id, min(k) k from nxt group by id) f on f.id = nxt.id and f.k = nxt.k
+  union all select x.id, x.n, x.k, least(c.n, c.k + 3) + 1, x.nk from chain c join nxt x on x.id = c.id and x.k = c.nk),
+win as (select c.id, c.k j, ent.k, ent.w, ent.hit, ent.v from (select *, unnest([-4, -3, -2, -1, 0, 1, 2]) o from chain) c join ent on ent.id = c.id and ent.k = c.k + c.o and ent.k >= c.lb and ent.k < c.n),
+imp as (select id, j, count(*) filter (v = 1) % 2 neg, count(*) filter (v = 2) amp, count(*) filter (v = 3) deamp from win group by all),
+hit as (select win.*, case when k = j then (1 - 2 * neg) * (1 + greatest(0.8 * ((1 - neg) * amp - (neg * amp + deamp)), -1)) else 1 end f from win join imp using (id, j) where hit),
+s as (select id, lexicon, sum(f * y) s, count(*) filter (y <> 0) c from hit join lex on word = w group by all)
+select toks.id, len(t)::double as word_count, l.lexicon, round(coalesce(__S__, 0), 6) + 0.0 as score from toks cross join (select distinct lexicon from lex) l left join s on s.id = toks.id and s.lexicon = l.lexicon"""
+query("c5_cluster_counts", _CLUSTERS.replace("__S__", "s"))(_unigram("counts", "t"))
+query("c5_cluster_proportional_pol", _CLUSTERS.replace("__S__", "s / nullif(c, 0)"))(_unigram("proportionalPol", "t"))
+
+
+#: Sentences are given as tokens here: the lines of a text, as SQL has no sentence breaks.
+_LINES = f"""with {B.CORPUS}, {B.lexicon_sql()}, {_SHIFT}, p as (select id, unnest(string_split(texts, chr(10))) l, generate_subscripts(string_split(texts, chr(10)), 1) p from corpus),
+toks as (select id, row_number() over (partition by id order by p) sid, t from (select id, p, {B.tokens_sql("replace(l, ', ', ' c_c ')")} t from p) where len(t) > 0),
+e as (select id, sid, len(t) n, unnest(t) w, generate_subscripts(t, 1) - 1 k from toks), words as (select distinct word from lex),
+ent as (select e.*, word is not null hit, case when word is null then val.t end v from e left join words on word = e.w left join val on val.w = e.w where word is not null or val.w is not null),
+h as (select h.*, coalesce(c.k, least(h.n, h.k + 3)) en from (select * from ent where hit) h asof left join (select * from e where w = 'c_c') c on c.id = h.id and c.sid = h.sid and least(h.n, h.k + 3) <= c.k),
+imp as (select h.id, h.sid, h.k, h.w, count(*) filter (x.v = 1) % 2 neg, count(*) filter (x.v = 2) amp, count(*) filter (x.v = 3) deamp, count(*) filter (x.v = 4 and x.k < h.k) - count(*) filter (x.v = 4 and x.k > h.k) adv
+  from h left join ent x on x.id = h.id and x.sid = h.sid and not x.hit and x.k >= h.k - 5 and x.k < h.en group by all),
+s as (select id, sid, lexicon, sum(y * (1 - 2 * neg) * (1 + 0.8 * (1 - neg) * amp + greatest(0.8 * (-neg * amp - deamp), -1)) * (1 + 0.25 * adv)) s from imp join lex on word = w group by all)
+select toks.id, toks.sid::int as sentence_id, len(t)::double as word_count, l.lexicon, round(coalesce(s, 0), 6) + 0.0 as score from toks cross join (select distinct lexicon from lex) l left join s on s.id = toks.id and s.sid = toks.sid and s.lexicon = l.lexicon"""
+
+
+@query("c6_line_clusters", _LINES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    lines = F.filter(F.transform(F.split("texts", "\n"), lambda x: T.tokens(F.replace(x, F.lit(", "), F.lit(f" {T.COMMA} ")))), lambda t: F.size(t) > 0)
+    given = spread(B.corpus(s, d).select("id", "texts")).select("id", lines.alias("lines"))
+    return sentiment(given, B.lexicons("t"), "counts", sentence=True, tokens="lines", features=[]).select("id", "sentence_id", "word_count", "lexicon", r6("score").alias("score"))
 
 
 @query("c6_sentence_clusters")
@@ -311,12 +336,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     # half of the documents are scored already; the other half comes as new, along with repeated ones
     whole = A.as_sentiment(B.events(s, d))
-    old = whole.where("pmod(hash(id), 2) = 0")
-    new = whole.join(old.select("id").distinct(), "id", "left_anti")
-    return _out(P.aggregate(old.unionByName(new.select(old.columns)), B.CONTROL).panel)
+    return _out(P.aggregate(whole.where("pmod(hash(id), 2) = 0"), B.CONTROL).updated(whole).panel)
 
 
-@query("f3_update_texts")
+@query("f3_update_texts", SQL["e7_measures"])
 def _(s: SparkSession, d: str) -> DataFrame:
     control = A.Aggregation(time=("linear",), by="month", lag=3)
     whole = B.corpus(s, d)
@@ -360,9 +383,22 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return P.wide(_panel(s, d), ["lexA--up--linear", "lexB--down--equal_weight"]).select("date", r6(F.col("`lexA--up--linear`")).alias("lexA_up_linear"), r6(F.col("`lexB--down--equal_weight`")).alias("lexB_down_equal"))
 
 
-@query("f15_dimensions", f"{_P} select count(distinct (lexicon, feature, time)) as measures, count(distinct date) as obs, count(distinct lexicon) as lexicons, count(distinct feature) as features, count(distinct time) as times from panel")
+@query("f15_dimensions", f"{_P} select count(distinct (lexicon, feature, time)) as measures, count(distinct date) as obs, string_agg(distinct lexicon, ',' order by lexicon) as lexicons, string_agg(distinct feature, ',' order by feature) as features, string_agg(distinct time, ',' order by time) as times from panel")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _panel(s, d).agg(F.countDistinct("lexicon", "feature", "time").alias("measures"), F.countDistinct("date").alias("obs"), F.countDistinct("lexicon").alias("lexicons"), F.countDistinct("feature").alias("features"), F.countDistinct("time").alias("times"))
+    m = _measures(s, d).keep()
+    dims = m.dimensions()
+    return s.createDataFrame([(m.n_measures(), m.n_obs(), *(",".join(dims[k]) for k in ("lexicons", "features", "time")))], "measures bigint, obs bigint, lexicons string, features string, times string")
+
+
+@query("f17_grouped_weights", f"""{_P}, w as (select id, date, lexicon, feature, wc / sum(wc) over (partition by date, lexicon, feature) w from sent where score <> 0),
+a as (select id, date, lexicon, sum(w) / 2 w from w group by all), b as (select id, date, lexicon, w / sum(w) over (partition by date, lexicon) w from a),
+c as (select id, date, sum(w) / 2 w from b group by all) select i.id, i.date, 'lexAB' as lexicon, 'any' as feature, round(coalesce(c.w, 0) / sum(c.w) over (partition by i.date), 9) as w from (select distinct id, date from sent) i left join c on c.id = i.id and c.date = i.date""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _grouped(s, d).document_weights.select("id", "date", "lexicon", "feature", F.round("w", 9).alias("w"))
+
+
+def _grouped(s: SparkSession, d: str) -> P.Measures:
+    return _measures(s, d).aggregate(lexicons={"lexAB": ["lexA", "lexB"]}, features={"any": ["up", "down"]})
 
 
 query("f16_peakdates", f"{_P} select date from (select date, max(abs(value)) x from panel group by date) order by x desc, date limit 5")(lambda s, d: P.A.peaks(_panel(s, d), "date", "value", 5))
@@ -370,29 +406,34 @@ query("f16_peakdates_average", f"{_P} select date from (select date, -avg(value)
 query("f19_plot", f"{_P} select date, lexicon as variable, round(avg(value), 6) + 0.0 as value from panel group by all")(lambda s, d: P.by_dimension(_panel(s, d), "lexicon").withColumn("value", r6("value")))
 
 
-# --- models: the response is a day's sum of order prices, aligned to the panel by its place
+# --- models: what fits use, over the panel's matrix; the response is a formula of the date
 
 
 _Y = "y as (select date, cast(day(date) * day(date) % 17 + 0.25 * month(date) as double) y from (select distinct date from panel))"
 
 
-def _y(panel: DataFrame) -> DataFrame:
-    k = F.dayofmonth("date")
-    return panel.select("date").distinct().select("date", ((k * k) % 17 + 0.25 * F.month("date")).cast("double").alias("y"))
+def _rows(s: SparkSession, dates: list, names: list[str], x: np.ndarray, y: np.ndarray) -> DataFrame:
+    table = [(d, float(v), *n.split("--"), float(x[i, j])) for i, (d, v) in enumerate(zip(dates, y)) for j, n in enumerate(names)]
+    return s.createDataFrame(table, "date date, response double, lexicon string, feature string, time string, value double")
 
 
 @query("g3_align", f"{_P}, {_Y}, m as (select date, lead(y, 2) over (order by date) - y as response from y) select date, round(response, 6) + 0.0 as response, lexicon, feature, time, round(value, 6) + 0.0 as value from panel join m using (date) where response is not null")
 def _(s: SparkSession, d: str) -> DataFrame:
-    p = _panel(s, d)
-    return M.aligned(p, _y(p), 2, True).withColumn("response", r6("response")).withColumn("value", r6("value"))
+    dates, names, x = M.panel_matrix(_panel(s, d))
+    x, y, dates = M.align(x, np.array([t.day * t.day % 17 + 0.25 * t.month for t in dates]), dates, 2, True)
+    return _rows(s, dates, names, x, y).withColumn("response", r6("response")).withColumn("value", r6("value"))
 
 
 @query("g4_clean_panel", f"{_P}, q as (select date, lexicon, feature, time, case when value > 0 then value else 0 end as value from panel), a as (select lexicon, feature, time, avg((value = 0)::int) z, list((date, value) order by date) l from q group by all) select lexicon, feature, time, (z > 0.5 or row_number() over (partition by l order by lexicon, feature, time) > 1) as discarded from a")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return M.cleaned(_panel(s, d).withColumn("value", F.greatest("value", F.lit(0.0))))
+    _, names, x = M.panel_matrix(_panel(s, d))
+    return s.createDataFrame([(*n.split("--"), bool(g)) for n, g in zip(names, M.discard(np.maximum(x, 0.0)))], "lexicon string, feature string, time string, discarded boolean")
 
 
-query("g8_cv_slices", "select i as slice, i as train_from, i + 11 as train_to, i + 14 as test_from, i + 16 as test_to from (select unnest(generate_series(1, 60 - 2 - 3 - 12 + 1)) i)")(lambda s, d: M.cv_table(s, 60, 12, 3, 2))
+@query("g8_cv_slices", f"{_P}, n as (select count(distinct date) n from panel) select i as slice, i as train_from, i + 11 as train_to, i + 14 as test_from, i + 16 as test_to from (select unnest(generate_series(1, n - 2 - 3 - 12 + 1)) i from n)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    slices = M.cv_slices(_measures(s, d).n_obs(), 12, 3, 2)
+    return s.createDataFrame([(k + 1, a[0], a[-1], b[0], b[-1]) for k, (a, b) in enumerate(slices)], "slice bigint, train_from bigint, train_to bigint, test_from bigint, test_to bigint")
 
 
 def _fit(s: SparkSession, d: str, control: M.ModelControl, classes: int = 0):  # noqa: ANN202
@@ -427,7 +468,7 @@ _F = "f as (select date, avg(value) filter (lexicon = 'lexA') as response, avg(v
 @query("g12_performance", f"{_P}, {_F} select date, round(response, 6) + 0.0 as response, round(predicted, 6) + 0.0 as predicted, (sign(response - lag(response) over w) = sign(predicted - lag(predicted) over w))::int::double as \"DA\", round(predicted - response, 6) + 0.0 as error, round((predicted - response) ** 2, 6) as \"errorSq\", round(abs(predicted - response), 6) as \"AD\" from f window w as (order by date)")
 def _(s: SparkSession, d: str) -> DataFrame:
     f = _panel(s, d).groupBy("date").agg(F.avg(F.when(F.col("lexicon") == "lexA", F.col("value"))).alias("response"), F.avg(F.when(F.col("lexicon") == "lexB", F.col("value"))).alias("predicted"))
-    p = M.performance_of(f)
+    p = s.createDataFrame(M.performance(f.orderBy("date").toPandas())[0].astype(object).where(lambda x: x.notna(), None), "date date, response double, predicted double, DA double, error double, errorSq double, AD double")
     return p.select("date", "DA", *(r6(c).alias(c) for c in ("response", "predicted", "error", "errorSq", "AD")))
 
 
@@ -475,3 +516,28 @@ query("h4_normalized", f"{_P}, {_COEFS}, a as (select date as ref_date, lexicon
 def _(s: SparkSession, d: str) -> DataFrame:
     m, it = _fit(s, d, M.ModelControl(kind="AIC", alphas=(0.5,), iterative=True, n_sample=35, h=1))
     return H.attributions(it, m).features.withColumn("attrib", r6("attrib"))
+
+
+_TWO = {"equal_weight": 0.3, "linear": -0.7}
+_GROUPED = f"""{_HSQL}, two as (select * from {B.values(list(_TWO.items()))} t(time, c)), ids as (select distinct id, date from sent), v as (select id, date, sum(sw) / 4 v from w group by id, date)"""
+
+
+def _attributed_groups(part: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = _grouped(s, d)
+        model = replace(_model(m), coef={"": {f"lexAB--any--{k}": c for k, c in _TWO.items()}})
+        return getattr(H.attributions(model, m), part).withColumn("attrib", r6("attrib"))
+
+    return run
+
+
+query("h1_docs_grouped", f"{_GROUPED}, t as (select p.ref_date, i.id, i.date, sum(c * v * b) attrib from pairs p join ids i on i.date = p.date join two using (time) left join v on v.id = i.id and v.date = i.date group by all) select ref_date, id, date, round(coalesce(attrib, 0), 6) + 0.0 as attrib from t")(_attributed_groups("documents"))
+query("h2_lags_grouped", f"{_GROUPED}, t as (select date, sum(v) v from v group by date), u as (select p.ref_date, p.lag, sum(c * v * b) attrib from pairs p join two using (time) left join t on t.date = p.date group by all) select ref_date, 'lag_' || cast(lag as integer) as component, round(coalesce(attrib, 0), 6) + 0.0 as attrib from u")(_attributed_groups("lags"))
+
+
+@query("h6_given", f"{_P}, {_COEFS}, r as (select date, (k - 2) // 4 f from (select date, row_number() over (order by date) k from (select distinct date from panel)) where k in (6, 10, 14)) select date as ref_date, feature as component, round(sum(coef * f * value), 6) + 0.0 as attrib from panel join r using (date) join coef using (lexicon, feature, time) group by date, feature")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = _measures(s, d).keep()
+    days = [r.date for r in m.dates().orderBy("date").collect()]
+    models = {days[4 * f + 1]: replace(_model(m), coef={"": {k: c * f for k, c in _COEF.items()}}) for f in (1, 2, 3)}
+    return H.attributions(M.IterativeModel(models, pd.DataFrame(), {}), m).features.withColumn("attrib", r6("attrib"))

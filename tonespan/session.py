@@ -7,7 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes for each core, and in all, up to which a table in few files is spread over the cores.
+SPREAD_EACH, SPREAD_ALL = 64 << 20, 4 << 30
 
 _shipped: set[str] = set()
 
@@ -40,3 +43,16 @@ def ship(spark: SparkSession) -> None:
         local.write_bytes(data.getvalue())
         sc.addPyFile(str(local))
     _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """df over all cores if it is a small table in fewer files than cores: a file of one row group would be one task.
+
+    Anything larger, or in more files, has splits enough and isn't moved; neither are streams and frames without files.
+    """
+    if df.isStreaming:
+        return df
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    if not 0 < files < cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > min(cores * SPREAD_EACH, SPREAD_ALL):
+        return df
+    return df.repartition(2 * cores, key)
