@@ -52,10 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing reads any more."""
-    fs, path = filesystem(df.stored_at)  # type: ignore[attr-defined]
-    fs.delete_dir(path)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)  # type: ignore[attr-defined, union-attr]
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

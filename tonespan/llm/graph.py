@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, stored
+from .common import forget, join_ids, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
     before = None
     while True:
-        e = stored(_small_star(_large_star(e)), "edges")
+        last, e = e, stored(_small_star(_large_star(e)), "edges")
+        forget(last)
         now = _digest(e)
         if now == before or not now[0]:
             break

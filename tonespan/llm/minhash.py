@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernels as K
-from .common import join_ids, stored, unused
+from .common import forget, join_ids, stored, unused
 from .graph import across, bucketed, components
 
 #: Word n-gram length of shingles, signature length, rows of a band, least Jaccard similarity.
@@ -105,7 +105,9 @@ def _verified(edges: DataFrame, texts: DataFrame, kind: str, threshold: float) -
     sets = stored(join_ids(texts, ids, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles array<bigint>"), "sets")
     both = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return stored(both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "verified")
+    out = stored(both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "verified")
+    forget(sets, ids, edges)
+    return out
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -133,7 +135,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = _verified(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, kind, threshold)
     comps = stored(components(stars), "comps")
     more = _verified(across(buckets, comps), texts, kind, threshold)
-    return stored(components(copies.unionAll(stars).unionAll(more)), "groups")
+    groups = stored(components(copies.unionAll(stars).unionAll(more)), "groups")
+    forget(sketch, first, buckets, stars, comps, more)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
