@@ -170,9 +170,9 @@ win as (select c.id, c.k j, ent.k, ent.w, ent.hit, ent.v from (select *, unnest(
 imp as (select id, j, count(*) filter (v = 1) % 2 neg, count(*) filter (v = 2) amp, count(*) filter (v = 3) deamp from win group by all),
 hit as (select win.*, case when k = j then (1 - 2 * neg) * (1 + greatest(0.8 * ((1 - neg) * amp - (neg * amp + deamp)), -1)) else 1 end f from win join imp using (id, j) where hit),
 s as (select id, lexicon, sum(f * y) s, count(*) filter (y <> 0) c from hit join lex on word = w group by all)
-select toks.id, len(t)::double as word_count, l.lexicon, round(coalesce(__S__, 0), 6) + 0.0 as score from toks cross join (select distinct lexicon from lex) l left join s on s.id = toks.id and s.lexicon = l.lexicon"""
-query("c5_cluster_counts", _CLUSTERS.replace("__S__", "s"))(_unigram("counts", "t"))
-query("c5_cluster_proportional_pol", _CLUSTERS.replace("__S__", "s / nullif(c, 0)"))(_unigram("proportionalPol", "t"))
+select toks.id, len(t)::double as word_count, l.lexicon, round(coalesce(__S__, 0) + 1e-9, 6) + 0.0 as score from toks cross join (select distinct lexicon from lex) l left join s on s.id = toks.id and s.lexicon = l.lexicon"""
+for _how, _name, _x in (("counts", "counts", "s"), ("proportionalPol", "proportional_pol", "s / nullif(c, 0)")):  # moved off ties, which the two sides round apart
+    query(f"c5_cluster_{_name}", _CLUSTERS.replace("__S__", _x))(lambda s, d, h=_how: sentiment(B.corpus(s, d), B.lexicons("t"), h, features=[]).select("id", "word_count", "lexicon", r6(F.col("score") + 1e-9).alias("score")))
 
 
 #: Sentences are given as tokens here: the lines of a text, as SQL has no sentence breaks.
