@@ -140,9 +140,11 @@ def test_sentences_against_the_plain_scorer(spark):
     vocabulary = ["good", "bad", "not", "very", "barely", "but", "a", "c_c", "b"]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))) for _ in range(150)]
     types = {t["x"]: t["t"] for t in TYPES}
-    for how in ("counts", "proportional"):
-        want = [finish(how, *plain(t.split(), [LEX["l"]], types, how, True)) for t in texts]
-        assert [s[0] for s in score(spark, texts, CLUSTERS, how, True)] == [pytest.approx(w[0], abs=1e-9) for w in want]
+    for lex in (LEX, Lexicons({"l": {"good": 1.0, "bad": -1.0, "c_c": 0.5}, "m": {"bad": -2.0, "a": 0.0}})):
+        for how in ("counts", "proportional", "proportionalPol", "exponential", "UShaped"):
+            want = [finish(how, *plain(t.split(), [lex[k] for k in lex], types, how, True)) for t in texts]
+            for got, w, t in zip(score(spark, texts, Lexicons({k: lex[k] for k in lex}, TYPES), how, True), want, texts):
+                assert got == [pytest.approx(x, abs=1e-9) if x is not None else None for x in w], (how, t)
 
 
 def test_tokens(spark):

@@ -143,13 +143,13 @@ def summarize(corpus: DataFrame, by: str = "day", features: Sequence[str] | None
 
 def to_sentences(corpus: DataFrame) -> DataFrame:
     """A row for each sentence, ids as id.1, id.2, ..."""
-    cut = corpus.select("*", F.posexplode(T.sentences(F.col("texts"))).alias("__p", "__s"))
+    cut = corpus.select("*", F.posexplode_outer(T.sentences(F.col("texts"))).alias("__p", "__s"))
     return cut.withColumn("id", F.concat_ws(".", "id", (F.col("__p") + 1).cast("string"))).withColumn("texts", F.trim("__s")).drop("__p", "__s").where("texts <> ''")
 
 
 def segments(corpus: DataFrame, pattern: str) -> DataFrame:
     """A row for each part of a text between matches of the pattern."""
-    cut = corpus.select("*", F.posexplode(F.split("texts", pattern)).alias("__p", "__s"))
+    cut = corpus.select("*", F.posexplode_outer(F.split("texts", pattern)).alias("__p", "__s"))
     return cut.withColumn("id", F.concat_ws(".", "id", (F.col("__p") + 1).cast("string"))).withColumn("texts", F.trim("__s")).drop("__p", "__s").where("texts <> ''")
 
 
@@ -172,5 +172,5 @@ def describe(corpus: DataFrame) -> str:
 
 def document_frequencies(tokens: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """(id, token, tf) and (token, df) of a column of token arrays."""
-    tf = tokens.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    tf = tokens.select(F.col(id_col).alias("id"), F.explode_outer(tokens_col).alias("token")).where("token is not null").groupBy("id", "token").agg(F.count("*").alias("tf"))
     return tf, tf.groupBy("token").agg(F.count("*").alias("df"))

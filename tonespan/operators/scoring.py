@@ -22,7 +22,9 @@ from ..functions.weights import WITHIN
 from ..session import spread
 from .lexicons import Lexicons
 
-_ENTRY = "h: boolean, v: double, s: array<double>, f: double, p: boolean"
+#: Hit, shifter, scores, inverse frequency, comma; and ones for counting shifters: types 1 and 2 in u, 3 and 4 in w, each in 31 bits.
+_ENTRY = "h: boolean, v: double, s: array<double>, f: double, p: boolean, u: bigint, w: bigint"
+_LOW = (1 << 31) - 1
 
 
 #: Between a language and a word in the look-up of corpora of several languages.
@@ -41,9 +43,10 @@ def _entries(lexicons: Lexicons | Mapping[str, Lexicons], idf: Mapping[str, floa
     for prefix, lex in parts.items():
         scores, shifters = lex.word_map(), dict(lex.valence.values) if lex.valence else {}
         for w, s in scores.items():
-            out[prefix + w] = {"h": True, "v": shifters.get(w), "s": [0.0] * before + s + [0.0] * (total - before - len(s)), "f": (idf or {}).get(prefix + w), "p": w == T.COMMA}
+            out[prefix + w] = {"h": True, "v": shifters.get(w), "s": [0.0] * before + s + [0.0] * (total - before - len(s)), "f": (idf or {}).get(prefix + w), "p": w == T.COMMA, "u": 0, "w": 0}
         for w in {*shifters, T.COMMA} - set(scores):
-            out[prefix + w] = {"h": False, "v": shifters.get(w), "s": [], "f": None, "p": w == T.COMMA}
+            kind = int(shifters.get(w, 0)) if lex.kind == "t" else 0
+            out[prefix + w] = {"h": False, "v": shifters.get(w), "s": [], "f": None, "p": w == T.COMMA, "u": {1: 1, 2: 1 << 31}.get(kind, 0), "w": {3: 1, 4: 1 << 31}.get(kind, 0)}
         before += len(lex)
     return out
 
@@ -84,9 +87,16 @@ def _count(window: str, kind: int, extra: str = "true") -> str:
     return f"size(filter({window}, k -> k <> j and not coalesce(get(__x, k).h, false) and get(__x, k).v = {kind}D and {extra}))"
 
 
-def _cluster_impact(window: str) -> str:
-    neg, amp, deamp = (_count(window, k) for k in (1, 2, 3))
-    return f"transform(array(named_struct('n', {neg} % 2, 'a', {amp}, 'd', {deamp})), c -> (1 - 2 * c.n) * (1D + greatest(0.8D * ((1 - c.n) * c.a - (c.n * c.a + c.d)), -1D)))[0]"
+def _ones(field: str, start: str, end: str) -> str:
+    """Sum of the entries' ones over the places [start, end)."""
+    return f"aggregate(slice(__x, {start} + 1, greatest({end} - {start}, 0)), 0L, (x, e) -> x + coalesce(e.{field}, 0L))"
+
+
+def _cluster_impact(start: str, end: str) -> str:
+    return (
+        f"transform(array(named_struct('u', {_ones('u', start, end)}, 'w', {_ones('w', start, end)})), o -> transform(array(named_struct('n', (o.u & {_LOW}L) % 2, 'a', shiftright(o.u, 31), 'd', o.w & {_LOW}L)), "
+        "c -> (1 - 2 * c.n) * (1D + greatest(0.8D * ((1 - c.n) * c.a - (c.n * c.a + c.d)), -1D)))[0])[0]"
+    )
 
 
 def _sentence_impact(window: str) -> str:
@@ -98,20 +108,62 @@ def _sentence_impact(window: str) -> str:
     )
 
 
+def _swept(how: str, size: int) -> str:
+    """Sentence clusters in one sweep from the end: what lies between a hit's own neighbourhood and the next comma is a difference of running counts.
+
+    So a window that reaches to a far comma costs no more than a short one.  At each place running counts are updated first (o = 1),
+    and remembered if there is a comma; then the hits whose neighbourhood ends there are scored (o = 0).
+    """
+    pol, weighed = how == "proportionalPol", how in ("UShaped", "inverseUShaped", "exponential", "inverseExponential")
+    here = "filter(transform(__x, (e, k) -> if({0}, named_struct('p', k, 'o', 1, 't', {1}, 'j', k), null)), v -> v is not null)"
+    asked = "transform(__h, j -> named_struct('p', least(__n, j + 3), 'o', 0, 't', 0, 'j', j))"
+    parts = [here.format("e.u > 0 or e.w > 0", "1"), here.format("e.p", "0"), asked, *([here.format("e.h", "5")] if pol or weighed else [])]
+    events = f"sort_array(concat({', '.join(parts)}), false)"
+    zero = f"array_repeat(0D, {size})"
+    first, last = "greatest(0, q.j - 5)", "least(__n, q.j + 3)"
+    near = f"sequence({first}, {last} - 1)"
+    # ones before and behind the hit: its neighbourhood's, and what lies between that and the next comma
+    ones = ", ".join(f"'{f}b', {_ones(f, first, 'q.j')}, '{f}a', {_ones(f, '(q.j + 1)', last)} + if(z.c, z.{f} - z.c{f}, 0L)" for f in "uw")
+    found = f"'n', ((o.ub + o.ua) & {_LOW}L) % 2, 'a', shiftright(o.ub + o.ua, 31), 'd', (o.wb + o.wa) & {_LOW}L, 'b', shiftright(o.wb, 31) - shiftright(o.wa, 31)"
+    impact = (
+        f"transform(array(named_struct({ones})), o -> transform(array(named_struct({found})), "
+        "c -> (1 - 2 * c.n) * (1D + 0.8D * (1 - c.n) * c.a + greatest(0.8D * (-c.n * c.a - c.d), -1D)) * (1D + 0.25D * c.b))[0])[0]"
+    )
+    init = {"u": "0L", "w": "0L", "cu": "0L", "cw": "0L", "c": "false", "s": zero}
+    update = {f: f"z.{f} + if(q.t = 1, get(__x, q.j).{f}, 0L)" for f in "uw"} | {f"c{f}": f"if(q.t = 0, z.{f}, z.c{f})" for f in "uw"} | {"c": "z.c or q.t = 0", "s": "z.s"}
+    score = {f: f"z.{f}" for f in init} | {"s": f"transform(array({impact}), i -> transform(z.s, (v, l) -> v + i * get(get(__x, q.j).s, l) * {_weight(how, 'q.j', 'q.j')}))[0]"}
+    if weighed:  # weights of the hits from here on, those at the comma, and the sum over windows
+        init |= {"m": "0D", "cm": "0D", "norm": "0D"}
+        update |= {"m": f"z.m + if(q.t = 5, {_weight(how, 'q.j', 'q.j')}, 0D)", "cm": "if(q.t = 0, z.m, z.cm)", "norm": "z.norm"}
+        own = f"aggregate(filter({near}, k -> coalesce(get(__x, k).h, false)), 0D, (x, k) -> x + {_weight(how, 'k', 'k')})"
+        score |= {"m": "z.m", "cm": "z.cm", "norm": f"z.norm + {own} + if(z.c, z.m - z.cm, 0D)"}
+    if pol or weighed:  # the same of hits with a score, by lexicon
+        init |= {"h": zero, "ch": zero, "t": zero}
+        update |= {"h": "if(q.t = 5, transform(z.h, (v, l) -> v + if(get(get(__x, q.j).s, l) <> 0D, 1D, 0D)), z.h)", "ch": "if(q.t = 0, z.h, z.ch)", "t": "z.t"}
+        own = f"size(filter({near}, k -> get(get(__x, k).s, l) <> 0D))"
+        score |= {"h": "z.h", "ch": "z.ch", "t": f"transform(z.t, (v, l) -> v + {own} + if(z.c, get(z.h, l) - get(z.ch, l), 0D))"}
+    struct = lambda fields: "named_struct(" + ", ".join(f"'{f}', {fields[f]}" for f in init) + ")"
+    swept = f"aggregate({events}, {struct(init)}, (z, q) -> if(q.o = 1, {struct(update)}, {struct(score)}))"
+    return f"transform(array({swept}), z -> named_struct('norm', {'z.norm' if weighed else '0D'}, 's', z.s, 'c', {'z.t' if pol or weighed else zero}))[0]"
+
+
 def _folded(how: str, size: int, kind: str | None, sentence: bool) -> str:
     """A struct of norm, s (sums by lexicon) and c (tokens with a score, by lexicon, each time they are touched)."""
     zero = f"array_repeat(0D, {size})"
     if kind == "t" and not sentence:
-        window = "sequence(greatest(a.next, j - 4), least(__n, j + 3) - 1)"
+        start, end = "greatest(a.next, j - 4)", "least(__n, j + 3)"
+        window = f"sequence({start}, {end} - 1)"
         touched = f"filter({window}, k -> k = j or coalesce(get(__x, k).h, false))"
         w = _weight(how, "k", "j")
         update = (
-            f"transform(array(named_struct('t', {touched}, 'i', {_cluster_impact(window)})), q -> named_struct('next', least(__n, j + 3) + 1, "
+            f"transform(array(named_struct('t', {touched}, 'i', {_cluster_impact(start, end)})), q -> named_struct('next', least(__n, j + 3) + 1, "
             f"'norm', a.norm + aggregate(q.t, 0D, (b, k) -> b + {w}), "
             f"'s', transform(a.s, (v, l) -> v + aggregate(q.t, 0D, (b, k) -> b + if(k = j, q.i, 1D) * get(get(__x, k).s, l) * {w})), "
             "'c', transform(a.c, (v, l) -> v + size(filter(q.t, k -> get(get(__x, k).s, l) <> 0D)))))[0]"
         )
         return f"aggregate(__h, named_struct('next', 0, 'norm', 0D, 's', {zero}, 'c', {zero}), (a, j) -> if(j < a.next, a, {update}))"
+    if kind == "t" and how != "TFIDF":
+        return _swept(how, size)
     if kind == "t":
         end = "if(locate('1', __p, least(__n, j + 3) + 1) > 0, locate('1', __p, least(__n, j + 3) + 1) - 1, least(__n, j + 3))"  # a search no longer than the window
         windows = f"transform(__h, j -> transform(array({end}), e -> named_struct('j', j, 'st', greatest(0, j - 5), 'en', e))[0])"
@@ -138,14 +190,14 @@ def _folded(how: str, size: int, kind: str | None, sentence: bool) -> str:
 
 
 def _final(how: str) -> str:
-    v = "get(__r.s, l)"
+    v = "get(r.s, l)"
     return {
         "counts": v,
-        "TFIDF": f"if(get(__r.c, l) = 0D, 0D, {v})",
+        "TFIDF": f"if(get(r.c, l) = 0D, 0D, {v})",
         "proportional": f"coalesce(try_divide({v}, __n), 0D)",
         "proportionalSquareRoot": f"coalesce(try_divide({v}, sqrt(__n)), 0D)",
-        "proportionalPol": f"coalesce(try_divide({v}, get(__r.c, l)), 0D)",
-    }.get(how, f"if(get(__r.c, l) = 0D, 0D, try_divide({v}, __r.norm))")
+        "proportionalPol": f"coalesce(try_divide({v}, get(r.c, l)), 0D)",
+    }.get(how, f"if(get(r.c, l) = 0D, 0D, try_divide({v}, r.norm))")
 
 
 def inverse_frequencies(df: DataFrame, tokens: str, lexicons: Lexicons | Mapping[str, Lexicons], language: str | None = None) -> dict[str, float]:
@@ -156,7 +208,7 @@ def inverse_frequencies(df: DataFrame, tokens: str, lexicons: Lexicons | Mapping
     prefixes = _by_language(lexicons)
     words = F.array(*(F.lit(p + w) for p, lex in prefixes.items() for w in lex.word_map()))
     everyone = F.array(F.concat(F.col(language), F.lit(_MARK)) if language else F.lit(""))
-    rows = df.select(F.explode(F.concat(everyone, F.array_intersect(tokens, words))).alias("w")).groupBy("w").count().collect()  # at most as many as the lexicons have words
+    rows = df.select(F.explode_outer(F.concat(everyone, F.array_intersect(tokens, words))).alias("w")).groupBy("w").count().collect()  # at most as many as the lexicons have words
     counts = {r.w: r["count"] for r in rows}
     return {p + w: math.log10(counts[p] / (1 + counts[p + w])) for p, lex in prefixes.items() for w in lex.word_map() if p + w in counts}
 
@@ -183,8 +235,10 @@ def scored(df: DataFrame, tokens: str, lexicons: Lexicons | Mapping[str, Lexicon
     df = df.withColumn("__n", F.size("__x")).withColumn("__h", F.expr("filter(transform(__x, (e, k) -> if(e.h, k, null)), k -> k is not null)"))
     if sentence and kind == "t":
         df = df.withColumn("__p", F.expr("array_join(transform(__x, e -> if(e.p, '1', '0')), '')"))
-    df = df.withColumn("__r", F.expr(_folded(how, size, kind, sentence)))
-    df = df.withColumn("scores", F.expr(f"transform(sequence(0, {size - 1}), l -> {_final(how)})"))
+    more = "'next', 0, " if kind == "t" and not sentence else ""
+    nothing = f"named_struct({more}'norm', 0D, 's', array_repeat(0D, {size}), 'c', array_repeat(0D, {size}))"
+    df = df.withColumn("__r", F.expr(f"if(size(__h) = 0, {nothing}, {_folded(how, size, kind, sentence)})"))
+    df = df.withColumn("scores", F.expr(f"transform(array(__r), r -> transform(sequence(0, {size - 1}), l -> {_final(how)}))[0]"))  # once a row, not once a lexicon
     return df.withColumn("word_count", F.col("__n").cast("double")).drop("__x", "__n", "__h", "__p", "__r", tokens)
 
 
@@ -225,7 +279,8 @@ def sentiment(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], ho
         toks = F.when(F.col("__lang").isin(list(lexicons)), toks).otherwise(F.raise_error(F.concat(F.lit("no lexicons of language "), F.coalesce("__lang", F.lit("null")))).cast("array<array<string>>" if sentence else "array<string>"))
     df = df.select(*keys, *read, toks.alias("__t"))
     if sentence:
-        df = df.select(*keys, *read, F.posexplode("__t").alias("__s", "__t")).withColumn("sentence_id", F.col("__s") + 1).drop("__s")
+        # outer: of a plain explode Spark infers a filter by its size, which would cut the text a second time, before it is spread
+        df = df.select(*keys, *read, F.posexplode_outer("__t").alias("__s", "__t")).where("__s is not null").withColumn("sentence_id", F.col("__s") + 1).drop("__s")
         keys = ["id", "sentence_id", *keys[1:]]
     df = scored(df, "__t", lexicons, how, sentence, "__lang" if many else None)
     named = F.arrays_zip(F.array(*map(F.lit, names)).alias("lexicon"), F.col("scores").alias("score"))

@@ -104,7 +104,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("b2_sentences")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return B.corpus(s, d).select("id", F.posexplode(T.sentence_tokens(F.col("texts"))).alias("sentence", "tokens"))
+    cut = spread(B.corpus(s, d).select("id", "texts")).select("id", F.posexplode_outer(T.sentence_tokens(F.col("texts"))).alias("sentence", "tokens"))
+    return cut.where("sentence is not null")
 
 
 # --- lexicons
