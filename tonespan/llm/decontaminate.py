@@ -29,7 +29,8 @@ from . import kernels as K
 Q, EDIT_RATE, SEGMENT, STEP = 8, 0.095, 64, 16
 #: Bytes of benchmark text in one broadcast index (which has 17 times as many), and indexes that one pass searches; a larger benchmark takes several passes.
 BLOCK_BYTES, BLOCKS = 2 << 20, 4
-_BITS = 22
+#: Leading bits of a hash that the index is entered by; bits of a band by which hits are counted at first.
+_BITS, _COUNT_BITS = 20, 18
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ class Index:
     hashes: np.ndarray
     place: np.ndarray  # of each q-gram in the text
     least: np.ndarray  # of each q-gram: what the most modest of its segments needs
-    bitmap: np.ndarray
+    first: np.ndarray  # where the hashes of each leading part begin
     short: dict  # length: (hashes in order, segments)
 
 
@@ -98,14 +99,14 @@ def build(items: list[tuple], q: int = Q, rate: float = EDIT_RATE, size: int = S
         inside = low[place] + j < high[place]
         least = np.where(inside, np.minimum(least, need[np.minimum(low[place] + j, len(need) - 1)]), least)
     order = np.argsort(grams[place], kind="stable")
-    hashes, bitmap = grams[place][order], np.zeros(1 << _BITS, bool)
-    bitmap[hashes >> np.uint64(64 - _BITS)] = True
+    hashes = grams[place][order]
+    first = np.searchsorted(hashes >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
     short = {}
     for n in np.unique(length[length < 2 * q]).tolist():
         mine = np.flatnonzero(length == n)
         own = qgrams(data, n)[start[mine]]
         short[n] = (np.sort(own), mine[np.argsort(own, kind="stable")])
-    return Index(data, np.array(item), start, length, edits, need, hashes, place[order].astype(np.int32), least[order].astype(np.uint8), bitmap, short)
+    return Index(data, np.array(item), start, length, edits, need, hashes, place[order].astype(np.int32), least[order].astype(np.uint8), first, short)
 
 
 def _owners(place: np.ndarray, start: np.ndarray, length: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,8 @@ def _align(ix: Index, seg: np.ndarray, low: np.ndarray, begin: np.ndarray, end:
     most = int(ix.edits[seg].max())
     width = 2 * (most + 1) + 2 * most
     steps = np.arange(width)
-    cost = np.zeros((len(seg), width), np.int32)
+    slope = steps.astype(np.int16)
+    cost = np.zeros((len(seg), width), np.int16)
     best = np.full(len(seg), 1 << 20, np.int32)
     first, last = low - most, len(ix.text) - 1
     for r in range(int(ix.length[seg].max())):
@@ -134,21 +136,29 @@ def _align(ix: Index, seg: np.ndarray, low: np.ndarray, begin: np.ndarray, end:
         char = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 1)
         now = cost + (char != ix.text[np.minimum(ix.start[seg] + r, last)][:, None])
         now[:, :-1] = np.minimum(now[:, :-1], cost[:, 1:] + 1)
-        cost = (np.minimum.accumulate(now - steps, axis=1) + steps).astype(np.int32)
+        cost = np.minimum.accumulate(now - slope, axis=1) + slope
         done = ix.length[seg] == r + 1
         best[done] = cost[done].min(axis=1)
     return best
 
 
+def _verbatim(ix: Index, seg: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which segments stand at their places in the text without an edit."""
+    same = (at >= begin) & (at + ix.length[seg] <= end)
+    for s in range(0, SEGMENT, 16):
+        some = np.flatnonzero(same & (ix.length[seg] > s))
+        step = s + np.arange(16)
+        of = np.minimum(step, ix.length[seg[some], None] - 1)
+        same[some] = (data[at[some, None] + of] == ix.text[ix.start[seg[some], None] + of]).all(axis=1)
+    return same
+
+
 def _crowded(band: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which hits lie in a band, or in one with the band before it, that has at least as many hits as they need."""
-    found, inverse, count = np.unique(band, return_inverse=True, return_counts=True)
-    near = found[1:] == found[:-1] + 1
-    both = count.copy()
-    both[1:][near] += count[:-1][near]  # the wider band that ends here
-    wide = both.copy()
-    wide[:-1][near] = np.maximum(wide[:-1][near], both[1:][near])
-    return wide[inverse] >= least
+    """Hits that may lie in a band, or in two bands that follow each other, of as many hits as they need: counts are by the last bits of bands, so none is too low."""
+    mask = (1 << _COUNT_BITS) - 1
+    cell = band & mask
+    count = np.bincount(cell, minlength=mask + 1)
+    return count[cell] + np.maximum(count[(cell - 1) & mask], count[(cell + 1) & mask]) >= least
 
 
 def _whole(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,26 +186,35 @@ def search(ix: Index, texts: pa.Array, q: int = Q) -> tuple[np.ndarray, np.ndarr
     data, offs = normalised(texts)
     out = [(np.zeros(0, np.int64),) * 3] + [(d, s, np.zeros(len(d), np.int64)) for d, s in _whole(ix, data, offs)]
     grams = qgrams(data, q)
-    at = np.flatnonzero(ix.bitmap[grams >> np.uint64(64 - _BITS)]) if len(ix.hashes) else np.zeros(0, np.int64)
+    part = (grams >> np.uint64(64 - _BITS)).astype(np.int64)
+    at = np.flatnonzero(ix.first[part] < ix.first[part + 1]) if len(ix.hashes) else np.zeros(0, np.int64)
     if len(at):
-        doc = np.searchsorted(offs, at, "right") - 1
-        at, doc = at[at + q <= offs[doc + 1]], doc[at + q <= offs[doc + 1]]
-        which, of = _spread(np.searchsorted(ix.hashes, grams[at], "left"), np.searchsorted(ix.hashes, grams[at], "right"))
-        at, doc, place = at[of], doc[of], ix.place[which].astype(np.int64)
+        which, of = _spread(ix.first[part[at]].astype(np.int64), ix.first[part[at] + 1])
+        at = at[of]
+        same = ix.hashes[which] == grams[at]
+        at, which = at[same], which[same]
+        place = ix.place[which].astype(np.int64)
         crowd = _crowded((at - place + len(ix.text)) // (int(ix.edits.max()) + 1), ix.least[which])
-        at, doc, place = at[crowd], doc[crowd], place[crowd]
+        at, place = at[crowd], place[crowd]
+        doc = np.searchsorted(offs, at, "right") - 1
+        inside = at + q <= offs[doc + 1]
+        at, place, doc = at[inside], place[inside], doc[inside]
         seg, of = _spread(*_owners(place, ix.start, ix.length, q))
         at, doc, place = at[of], doc[of], place[of]
         long = ix.length[seg] >= 2 * q
         at, doc, place, seg = at[long], doc[long], place[long], seg[long]
-        band = (at - (place - ix.start[seg]) + SEGMENT) // (ix.edits[seg] + 1)
+        begin = at - (place - ix.start[seg])
+        band = (begin + SEGMENT) // (ix.edits[seg] + 1)
         bands = len(data) + 2 * SEGMENT
         key = (doc * len(ix.item) + seg) * bands + band
-        found, count = np.unique(np.concatenate([key, key - (band > 0)]), return_counts=True)
-        pair, band = found // bands, found % bands
+        found, one, count = np.unique(np.concatenate([key, key - (band > 0)]), return_index=True, return_counts=True)
+        pair, band, begin = found // bands, found % bands, begin[one % max(len(begin), 1)]
         doc, seg = pair // len(ix.item), pair % len(ix.item)
         keep = count >= ix.need[seg]
-        doc, seg, band = doc[keep], seg[keep], band[keep]
+        doc, seg, band, begin = doc[keep], seg[keep], band[keep], begin[keep]
+        same = _verbatim(ix, seg, begin, offs[doc], offs[doc + 1], data)
+        out.append((doc[same], seg[same], np.zeros(int(same.sum()), np.int64)))
+        doc, seg, band = doc[~same], seg[~same], band[~same]
         for s in range(0, len(doc), 4096):
             d, g, b = (x[s : s + 4096] for x in (doc, seg, band))
             edits = _align(ix, g, b * (ix.edits[g] + 1) - SEGMENT, offs[d], offs[d + 1], data)
