@@ -430,3 +430,64 @@ def test_passages_whose_least_document_holds_parts_only(spark):
         want.add((at + 3, at + 2))
     got = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(frame(spark, rows)).collect()}
     assert got <= want and len(got) >= 0.95 * len(want), sorted(want - got)
+
+
+def test_edited_passages_whose_least_document_holds_parts_only(spark):
+    """Two changed words, and documents of lower ids that take the groups of their seeds."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for k in range(60):
+        p, at = words(rng, 52, 10**6), 10 * k
+        q = list(p)
+        q[16 + k % 3], q[33 + k % 3] = "changed", "words"
+        parts = p[:22], p[12:34], p[30:], p, q
+        rows += [(at + i, " ".join(words(rng, 40, 10**6) + part + words(rng, 40, 10**6))) for i, part in enumerate(parts)]
+        want.add((at + 4, at + 3))
+    assert {(r.doc_id, r.other_doc_id) for r in links(spark, rows)} == want
+
+
+def test_an_edited_passage_around_a_line_of_all_documents(spark):
+    rng = random.Random(22)
+    line, rows, want = words(rng, 30, 10**6), [], set()
+    for i in range(120):
+        rows.append((i, " ".join(words(rng, 90, 10**6) + line + words(rng, 90, 10**6))))
+    for k in range(20):  # few words beside the line are shared: none of its seeds is elsewhere
+        left, right = words(rng, 12, 10**6), words(rng, 12, 10**6)
+        for i in (200 + 2 * k, 201 + 2 * k):
+            rows.append((i, " ".join(words(rng, 50, 10**6) + left + line + ["other" if i % 2 else "word"] + right + words(rng, 50, 10**6))))
+        want.add((201 + 2 * k, 200 + 2 * k))
+    assert {(r.doc_id, r.other_doc_id) for r in links(spark, rows)} == want
+
+
+def test_all_links_of_edited_copies_against_brute_force(spark):
+    """Every pair that the verification accepts at a shift of 14 common words is in one class, whatever the ids' order."""
+    rng = random.Random(23)
+    shared, rows = [words(rng, n, 10**6) for n in (52, 60, 75, 110)], []
+    for i in range(120):
+        p = list(shared[i % 4])
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(p))
+            p[k : k + 1] = rng.choice([[], ["new"], [p[k], "more"], ["x", "y"]])
+        if i % 5 == 0:
+            p = p[rng.randrange(30) :][: rng.randrange(25, 60)]
+        rows.append((i, " ".join(words(rng, rng.randrange(60), 10**6) + p + words(rng, rng.randrange(60), 10**6))))
+    toks = [passages.tokens(pa.array([t]))[0] for _, t in rows]
+    runs = [{tuple(t[k : k + 10].tolist()): k for k in range(len(t) - 9)} for t in toks]
+    codes = [(t >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in toks]
+    edges = []
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        for shift in {runs[b][r] - runs[a][r] for r in runs[a].keys() & runs[b].keys()}:
+            zero = lambda t: np.zeros(len(t), np.int64)
+            m = passages.matched(codes[a], zero(toks[a]), np.arange(len(toks[a])), codes[b], zero(toks[b]), np.arange(len(toks[b])), np.array([shift]))
+            if (np.maximum(m[:, 2] - m[:, 1], m[:, 4] - m[:, 3]) + 5 >= 50).any():
+                edges.append((a, b))
+    want = components({x for e in edges for x in e}, edges)
+    assert len(want) > 80 and classes(passages.repeated_passages(frame(spark, rows)).collect()) == want
+
+
+def test_groups_that_no_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(passages, "MANY", 3)
+    monkeypatch.setattr(passages, "FEW", 4)
+    test_edited_passages_whose_least_document_holds_parts_only(spark)
+    test_an_edited_passage_around_a_line_of_all_documents(spark)
+    test_all_links_of_edited_copies_against_brute_force(spark)

@@ -1,21 +1,21 @@
-"""Passages that repeat across documents, found with compact windows.
-
-For one hash function, the Cartesian tree over the hashes of a document's
-tokens (word 5-grams) has a node for each token, whose span is the largest
-stretch in which that token has the least hash.  Only spans of at least
-``MIN_TOKENS`` tokens matter; they number about 2n/MIN_TOKENS.  Two passages
-that are alike have the same least token, and mostly the same ``RUN`` tokens
-from it on, to the right for one half of the functions and to the left for the
-other; windows are grouped by these.
-
-Each document is first held against the least one of a group.  An interval join
-of the windows of a pair finds the regions where windows of enough functions
-lie in each other, on both sides; a region is verified by matching tokens at
-about its own shift.  A group with a window that no passage so verified
-covers is then solved exactly: all stretches of ``EXACT`` tokens around the
-centres of all its windows are hashed, and equal ones linked to the least
-document that has them.  So work and result grow with the windows, not with
-their pairs, and no verbatim passage is lost for what the least document holds.
+"""Passages that repeat across documents, found with seeds that no such passage lacks.
+
+For a hash function, the Cartesian tree over the hashes of a document's tokens
+(word 5-grams) has a node for each token, whose span is the largest stretch in
+which that token has the least hash.  The tokens with spans of at least
+``SPACING`` are the seeds, about 2n/SPACING; windows around them are grouped by
+the ``RUN`` tokens from the seed on.  Any RUN + SPACING - 1 tokens in succession
+hold such a seed, whatever surrounds them, and a stretch of MIN_TOKENS tokens of
+which SHARE match has that many in succession: a passage can't lack one.
+
+Each window is first held against the first one of its group.  Windows of a pair
+of documents that lie in each other at one shift make regions; a region is
+verified by matching tokens at about that shift.  A window that no passage so
+verified covers is then held against all others of its group that have enough tokens in
+common with it around the seed; of windows that are the same but for tokens that
+no other one of the group has (a line in all documents), one stands for all.  So
+work and result grow with the windows and with the unlike ones among them, not
+with the pairs of copies.
 """
 
 from __future__ import annotations
@@ -24,24 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernels as K
 from .common import BROADCAST_BYTES, forget, join_ids, stored
 
-#: Words of a token, tokens of the shortest passage, hash functions, functions that must agree (a key is RUN equal tokens, so one is much), and the share of tokens of each stretch of MIN_TOKENS that must match (two changed words).
-GRAM, MIN_TOKENS, FUNCTIONS, AGREE, SHARE = 5, 40, 6, 1, 0.75
-#: Tokens that windows of a group have in common, tokens by which matches may be shifted within a passage, words of the shortest passage, and its tokens.
-RUN, SLACK, WORDS = 6, 20, 50
-EXACT = WORDS - GRAM + 1
+#: Words of a token, tokens of the shortest stretch, functions that must agree, and the share of tokens of each stretch of MIN_TOKENS that must match (two changed words).
+GRAM, MIN_TOKENS, AGREE, SHARE = 5, 40, 1, 0.75
+#: Tokens that windows of a group have in common, and tokens among which one is a seed.  Two gaps leave (MIN_TOKENS * SHARE) / 3 tokens in succession, which is RUN + SPACING - 1.
+RUN, SPACING = 4, 7
+#: Tokens by which matches may be shifted within a passage, and words of the shortest passage.
+SLACK, WORDS = 20, 50
+#: Open windows of a group that one task holds; tokens of larger groups are joined where no more than FEW of the windows have them.
+MANY, FEW = 200_000, 32
 _FN = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 #: Regions begin and end at multiples of so many tokens: the stretches that are asked of one document are few, however many documents it is held against.
 _GRID = 64
-#: A window is packed as its centre and the tokens to its left and to its right; what reaches further than 63 tokens isn't told apart.
-_REACH = 63
+#: A window is packed as its centre and the tokens to its left and to its right; 63 stands for _FAR, in which two stretches of a passage lie whole.
+_REACH, _FAR = 63, 2 * MIN_TOKENS + 5
+#: Tokens to either side of a centre that may match in a region, and in a stretch that holds the centre.
+_AROUND, _NEAR = _FAR + SLACK, MIN_TOKENS + SLACK
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +103,28 @@ def _stretch_hashes(toks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return K.mix64((c[at + n] - c[at]) * inv[at])
 
 
+def _keys(toks: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return _stretch_hashes(toks, begin, RUN).view(np.int64)
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in K.text_chunks(batch.column(1)):
             toks, docs = tokens(batch.column(1).slice(a, b - a))
-            for fn in range(FUNCTIONS):
-                doc, c, first, last = windows(toks, docs, fn)
-                begin = docs[doc] + c - (RUN - 1) * (fn % 2)
-                inside = (begin >= docs[doc]) & (begin + RUN <= docs[doc + 1])
-                doc, c, first, last, begin = (x[inside] for x in (doc, c, first, last, begin))
-                if len(doc):
-                    key = (_stretch_hashes(toks, begin, RUN) & ~np.uint64(7)) | np.uint64(fn)
-                    packed = c << 12 | np.minimum(c - first, _REACH) << 6 | np.minimum(last - c, _REACH)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc + a)), pa.array(packed)], ["key", "id", "win"])
+            doc, c, _, _ = windows(toks, docs, 0, SPACING)
+            begin = docs[doc] + c
+            inside = begin + RUN <= docs[doc + 1]
+            doc, c, begin = (x[inside] for x in (doc, c, begin))
+            key = _keys(toks, begin)
+            same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])  # of words that repeat at once, the ends
+            ends = ~(np.append(False, same) & np.append(same, False)) if len(key) else np.zeros(0, bool)
+            key, doc, c = (x[ends] for x in (key, doc, c))
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(doc + a)), pa.array(_packed(c))], ["key", "id", "win"])
+
+
+def _packed(centre: np.ndarray) -> np.ndarray:
+    return centre << 12 | _REACH << 6 | _REACH
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,52 +164,45 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def regions_of(pair: np.ndarray, fn: np.ndarray, wa: np.ndarray, wb: np.ndarray, agree: int = AGREE) -> np.ndarray:
-    """(pair, first and last token on either side, shift) where windows of ``agree`` functions lie in each other on both sides: an interval join along the shifts."""
+    """(pair, first and last token on either side, shift) where windows of ``agree`` functions lie in each other on both sides: an interval join along each shift."""
     (ca, la, ra), (cb, lb, rb) = _unpacked(wa), _unpacked(wb)
     shift = cb - ca
     order = np.lexsort((shift, pair))
     p, d = pair[order], shift[order]
-    cluster = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (d[1:] - d[:-1] > SLACK)]))
+    cluster = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]))
     order = order[np.lexsort((ca[order], cb[order], cluster))]
     cluster = np.sort(cluster)
     pair, fn, shift, ca, la, ra, cb, lb, rb = (x[order] for x in (pair, fn, shift, ca, la, ra, cb, lb, rb))
     x, y = slice(None, -1), slice(1, None)
     step, back = cb[y] - cb[x], ca[y] - ca[x]
     meet = (step <= np.minimum(rb[x], lb[y])) & (np.abs(back) <= np.where(back >= 0, np.minimum(ra[x], la[y]), np.minimum(la[x], ra[y])))
-    at = _steady(np.concatenate([[True], (cluster[y] != cluster[x]) | ~meet]), shift)
+    at = np.flatnonzero(np.concatenate([[True], (cluster[y] != cluster[x]) | ~meet]))
     run = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(shift))))
     enough = np.bincount(np.unique(run * 8 + fn) // 8, minlength=len(at)) >= agree
     low = lambda v: np.minimum.reduceat(v, at)[enough]
     high = lambda v: np.maximum.reduceat(v, at)[enough]
-    near = lambda v: np.minimum(v, MIN_TOKENS)
+    near = lambda v: np.where(v < _REACH, v, _FAR)
     rows = [low(ca - near(la)), high(ca + near(ra)), low(cb - near(lb)), high(cb + near(rb))]
     if not enough.any():
         return np.zeros((0, 6), np.int64)
     # regions that overlap on both sides are one
     pair, shift, cluster = (v[at[enough]] for v in (pair, shift, cluster))
     apart = (cluster[y] != cluster[x]) | (rows[2][y] > rows[3][x]) | (rows[0][y] > rows[1][x]) | (rows[0][x] > rows[1][y])
-    at = _steady(np.concatenate([[True], apart]), shift)
+    at = np.flatnonzero(np.concatenate([[True], apart]))
     la, ra, lb, rb = (f.reduceat(v, at) for f, v in zip((np.minimum, np.maximum) * 2, rows))
     return np.stack([pair[at], la, ra, lb, rb, shift[at]], axis=1)
 
 
-def _steady(cut: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Where runs begin, cut further where they leave the shift at their start."""
-    while True:
-        start = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))
-        drifted = np.flatnonzero(np.abs(shift - shift[start]) > SLACK)
-        if not len(drifted):
-            return np.flatnonzero(cut)
-        cut[drifted[np.unique(start[drifted], return_index=True)[1]]] = True
-
-
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        (fn, pair), (wa, _), (wb, _) = (_flat(batch.column(c)) for c in (2, 3, 4))
-        rows = regions_of(pair, fn.astype(np.int64), wa, wb)
+        (wa, pair), (wb, _) = (_flat(batch.column(c)) for c in (2, 3))
+        rows = regions_of(pair, np.zeros(len(pair), np.int64), wa, wb)
         if len(rows):
+            rows[:, 1] -= SLACK
+            rows[:, 2] += SLACK
+            rows[:, [1, 3]] = np.maximum(rows[:, [1, 3]], 0)
             rows[:, [1, 3]] -= rows[:, [1, 3]] % _GRID
             rows[:, [2, 4]] += _GRID - 1 - rows[:, [2, 4]] % _GRID
             at = pa.array(rows[:, 0])
@@ -288,9 +295,9 @@ def _asking(rows: DataFrame, asked: DataFrame, bytes_each: int) -> DataFrame:
 
 
 def _verified(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Passages of the pairs of documents whose windows agree, from (a, b, fn, wa, wb)."""
-    pairs = edges.groupBy("a", "b").agg(F.collect_list("fn").alias("fn"), F.collect_list("wa").alias("wa"), F.collect_list("wb").alias("wb"), F.bit_or(F.expr("shiftleft(1, fn)")).alias("m"))
-    regions = pairs.where(F.bit_count("m") >= AGREE).select("a", "b", "fn", "wa", "wb").mapInArrow(_regions, "a bigint, b bigint, la bigint, ra bigint, lb bigint, rb bigint, shift bigint")
+    """Passages of the pairs of documents whose windows agree, from (a, b, wa, wb)."""
+    pairs = edges.groupBy("a", "b").agg(F.collect_list("wa").alias("wa"), F.collect_list("wb").alias("wb"))
+    regions = pairs.mapInArrow(_regions, "a bigint, b bigint, la bigint, ra bigint, lb bigint, rb bigint, shift bigint")
     regions = stored(regions, "regions")
     asked = regions.selectExpr("a as id", "la as lo", "ra as hi").unionAll(regions.selectExpr("b", "lb", "rb")).distinct()
     asked = stored(asked.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "asked")
@@ -300,53 +307,139 @@ def _verified(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, _PASSAGE).distinct()
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, id, first token) of all stretches of EXACT tokens that hold one of the asked centres (column 2)."""
+def _asked_places(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Tokens of a chunk, and of the asked windows (column 2: twice the centre, and 1 if open) centres among them, first and last token of what can match in a region; their keys, ids, windows, and whether they are open."""
+    for s, e in K.text_chunks(batch.column(1)):
+        toks, docs = tokens(batch.column(1).slice(s, e - s))
+        asked, row = _flat(batch.column(2).slice(s, e - s))
+        centre = docs[row] + (asked >> 1)
+        there = centre + RUN <= docs[row + 1]  # rows that repeat an id may be shorter
+        asked, row, centre = (x[there] for x in (asked, row, centre))
+        codes = (toks >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        for k in np.split(np.arange(len(row)), np.arange(5000, len(row), 5000)):
+            low, high = np.maximum(centre[k] - _AROUND, docs[row[k]]), np.minimum(centre[k] + _AROUND + 1, docs[row[k] + 1])
+            yield codes, centre[k], low, high, _keys(toks, centre[k]), batch.column(0).take(pa.array(row[k] + s)), _packed(asked[k] >> 1), (asked[k] & 1).astype(bool)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, window, open, tokens around) of the asked windows; the tokens are 32-bit numbers, 0 where the document has none."""
     for batch in batches:
-        for s, e in K.text_chunks(batch.column(1)):
-            toks, docs = tokens(batch.column(1).slice(s, e - s))
-            centre, row = _flat(batch.column(2).slice(s, e - s))
-            wanted = np.zeros(len(toks) + 1, np.int64)
-            begin, end = np.maximum(docs[row] + centre - EXACT + 1, docs[row]), np.minimum(docs[row] + centre, docs[row + 1] - EXACT) + 1
-            some = begin < end
-            np.add.at(wanted, begin[some], 1)
-            np.add.at(wanted, end[some], -1)
-            at = np.flatnonzero(np.cumsum(wanted) > 0)
-            if len(at):
-                doc = np.searchsorted(docs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(_stretch_hashes(toks, at, EXACT).view(np.int64)), batch.column(0).take(pa.array(doc + s)), pa.array(at - docs[doc])], ["hash", "id", "at"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal stretches (a, b, lists of their places in b and in a) that follow each other in b, as passages."""
+        for codes, centre, low, high, key, ids, win, is_open in _asked_places(batch):
+            place = centre[:, None] + np.arange(-_AROUND, _AROUND + 1)
+            inside = (place >= low[:, None]) & (place < high[:, None])
+            flat = np.where(inside, codes[np.where(inside, place, 0)] | 1, 0).astype(np.int32)
+            width = flat.shape[1] * 4
+            around = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(0, (len(flat) + 1) * width, width, dtype=np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(win), pa.array(is_open), around], ["key", "id", "win", "open", "around"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, window, open, place from the centre, token) of the tokens around the asked windows."""
+    names = ["key", "id", "win", "open", "off", "token"]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        (at, row), (there, _) = _flat(batch.column(2)), _flat(batch.column(3))
-        order = np.lexsort((at, row))
-        at, row, there = at[order], row[order], there[order]
-        cut = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(at) > 1)])
-        begin = np.flatnonzero(cut)
-        first, last, row = at[cut], np.append(at[begin[1:] - 1], at[-1]), pa.array(row[cut])
-        low, high = np.minimum.reduceat(there, begin), np.maximum.reduceat(there, begin)
-        yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(0).take(row), pa.array(first), pa.array(last - first + WORDS), pa.array(low), pa.array(high - low + WORDS)], _NAMES)
-
-
-def _exact(rows: DataFrame, edges: DataFrame, passages: DataFrame) -> DataFrame:
-    """Verbatim passages around the windows of all keys of which a window isn't covered by a passage shared with the first window's document."""
+        for codes, centre, low, high, key, ids, win, is_open in _asked_places(batch):
+            size = high - low
+            at = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + low[at]
+            cols = win[at], is_open[at], (place - centre[at]).astype(np.int32), codes[place]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), ids.take(pa.array(at)), *map(pa.array, cols)], names)
+
+
+def likely(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """Pairs of rows, one of them open, that can share a passage around the centres of a group's windows: that have enough tokens in common.
+
+    ``around`` has a row of tokens for each window, in order of ids.  Tokens that one row has alone don't count; rows that are the same
+    in all others are each held against one of them, and these among each other.
+    """
+    none, least = np.zeros((0, 2), np.int64), int(SHARE * MIN_TOKENS)
+    inner = slice(_AROUND - _NEAR, _AROUND + _NEAR + 1)
+    row = np.arange(len(around))
+    known, code = np.unique(around, return_inverse=True)
+    code = code.reshape(around.shape)
+    ranked = np.sort(code, axis=1)
+    n = np.bincount(ranked[:, 0], minlength=len(known)) + np.bincount(ranked[:, 1:][ranked[:, 1:] != ranked[:, :-1]], minlength=len(known))
+    code = np.where((n[code] > 1) & (around != 0), code, -1)
+    enough = (code[:, inner] >= 0).sum(1) >= least
+    row, code = row[enough], code[enough]
+    if len(row) < 2 or not is_open[row].any():
+        return none
+    _, first, kind = np.unique(np.ascontiguousarray(code.astype(np.int32)).view(f"V{4 * code.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    some = np.bincount(kind, is_open[row], len(first)) > 0
+    last = np.zeros(len(first), np.int64)
+    last[kind] = np.arange(len(row))  # rows are in order: the last one stays
+    other = np.where(ids[row] == ids[row[first[kind]]], last[kind], first[kind])
+    copies = np.stack([row, row[other]], axis=1)[(ids[row] != ids[row[other]]) & some[kind]]
+    # counts of common tokens, by lists of the kinds that have a token
+    near = code[first][:, inner]
+    owner = np.repeat(np.arange(len(first)), near.shape[1])[near.ravel() >= 0]
+    have = np.unique(near.ravel()[near.ravel() >= 0] * len(first) + owner)
+    token, lists = have // len(first), have % len(first)
+    found = [copies]
+    for x in np.flatnonzero(some) if len(first) > 1 else ():
+        mine, times = np.unique(near[x][near[x] >= 0], return_counts=True)
+        begin, end = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
+        size = end - begin
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        y = np.flatnonzero(np.bincount(lists[at], np.repeat(times, size), len(first)) >= least)
+        y = y[(ids[row[first[y]]] != ids[row[first[x]]]) & (~some[y] | (y != x))]
+        found.append(np.stack([np.full(len(y), row[first[x]]), row[first[y]]], axis=1))
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+def _group(group: pa.Table) -> pa.Table:
+    """Edges of one key's windows (id, win, open, around)."""
+    group = group.select(["id", "win", "open", "around"]).combine_chunks().sort_by([("id", "ascending"), ("win", "ascending")])
+    ids, win, is_open = (group.column(c).to_numpy() for c in ("id", "win", "open"))
+    around = np.frombuffer(b"".join(group.column("around").to_pylist()), np.int32).reshape(len(ids), -1)
+    x, y = likely(around, ids, is_open).T
+    return pa.table({"a": ids[x], "b": ids[y], "wa": win[x], "wb": win[y]})
+
+
+def _between(x: str, y: str) -> list[Column]:
+    """The places (structs of id and win) x and y as columns of an edge."""
+    p, q = F.expr(f"least({x}, {y})"), F.expr(f"greatest({x}, {y})")
+    return [p["id"].alias("a"), q["id"].alias("b"), p["win"].alias("wa"), q["win"].alias("wb")]
+
+
+def _crossed(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Edges between the open places x of left and the places y of right that agree in ``on``."""
+    both = left.where("open").select(*on, F.struct("id", "win").alias("x")).join(right.select(*on, F.struct("id", "win").alias("y"), F.col("open").alias("too")), on)
+    return both.where("x.id <> y.id and (not too or x.id < y.id)").select(*_between("x", "y"))
+
+
+def _rest(rows: DataFrame, edges: DataFrame, passages: DataFrame) -> DataFrame:
+    """Edges (a, b, wa, wb) from each window that no passage shared with its key's first one covers to the others of the key that it can match."""
     spans = stored(passages.groupBy(F.col("other_doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")), "spans")
     covered = F.expr(f"exists(spans, s -> shiftright(wb, 12) between s.first_word and s.first_word + s.n_words - {GRAM})")
-    bare = join_ids(edges.where("a <> b"), spans, ["a", "b"], "left", 96).where(~F.coalesce(covered, F.lit(False)))
-    keys = stored(bare.select("key").distinct(), "open")
-    members = join_ids(edges, keys, "key", "left_semi", 32)
-    centres = members.selectExpr("a as id", "shiftright(wa, 12) as c").unionAll(members.selectExpr("b", "shiftright(wb, 12)"))
-    asked = stored(centres.groupBy("id").agg(F.collect_set("c").alias("c")), "asked")
-    found = stored(_asking(rows, asked, 8).mapInArrow(_around, "hash bigint, id bigint, at bigint").distinct(), "stretches")
-    least = found.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("hash", "a")
-    shared = stored(found.join(least, "hash"), "equal")
-    head = shared.where("id = a").groupBy("hash").agg(F.min("at").alias("first"))
-    pairs = shared.where("id <> a").join(head, "hash").select("a", F.col("id").alias("b"), "at", "first").distinct()
-    return pairs.groupBy("a", "b").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first")).mapInArrow(_joined, _PASSAGE)
+    marked = join_ids(edges, spans, ["a", "b"], "left", 96).select("key", "a", "b", "wa", "wb", (F.expr("a <> b") & ~F.coalesce(covered, F.lit(False))).alias("open"))
+    marked = stored(marked, "marked")
+    keys = stored(marked.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("some and n > 1").select("key", "n"), "open")
+    mine = join_ids(marked, keys, "key", "inner", 40)
+    # first windows too: those of a key over several partitions were held against their own partition's only
+    mine = mine.select("key", "n", F.col("b").alias("id"), F.col("wb").alias("win"), "open").unionAll(mine.selectExpr("key", "n", "a", "wa", "false"))
+    others = stored(mine.groupBy("key", "n", "id", "win").agg(F.max("open").alias("open")), "members")
+    edges = "a bigint, b bigint, wa bigint, wb bigint"
+    asking = lambda some: stored(some.groupBy("id").agg(F.collect_set(F.expr("shiftright(win, 12) * 2 + int(open)")).alias("c")), "asked")
+    around = _asking(rows, asking(others.where(f"n <= {MANY}")), 8).mapInArrow(_contexts, "key bigint, id bigint, win bigint, open boolean, around binary")
+    found = stored(around.groupBy("key").applyInArrow(_group, edges).distinct(), "likely")
+    many = others.where(f"n > {MANY}")
+    return found if many.isEmpty() else found.unionAll(_rest_of_many(rows, asking(many))).distinct()
+
+
+def _rest_of_many(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """What :func:`likely` does, by joins: for groups that no task should hold."""
+    around = stored(_asking(rows, asked, 8).mapInArrow(_exploded, "key bigint, id bigint, win bigint, open boolean, off int, token int"), "contexts")
+    counts = around.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
+    around = stored(around.join(counts, ["key", "token"]), "common")
+    rare = around.where(f"n <= {FEW}")
+    # what only frequent tokens make alike: windows that have these at the same places stand for each other
+    alike = around.where(f"n > {FEW}").groupBy("key", "id", "win", "open").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("off", "token")))).alias("kind"))
+    alike = stored(alike, "alike")
+    kinds = stored(alike.groupBy("key", "kind").agg(F.min(F.struct("id", "win")).alias("x"), F.max(F.struct("id", "win")).alias("z"), F.max("open").alias("some")), "kinds")
+    copies = alike.join(kinds, ["key", "kind"]).where("open or some").select(F.struct("id", "win").alias("y"), F.expr("if(id = x.id, z, x)").alias("x")).where("x.id <> y.id").select(*_between("x", "y"))
+    heads = kinds.select("key", F.col("x.id").alias("id"), F.col("x.win").alias("win"), F.col("some").alias("open"))
+    return _crossed(rare, rare, ["key", "token"]).unionAll(copies).unionAll(_crossed(heads, heads, ["key"])).distinct()
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,10 +447,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A passage has at least 50 words on one side, and of each stretch of 40 word 5-grams (lower case, punctuation ignored) at least 75 %
     (two words changed) occur in the other document's passage, at most 20 words off their place.  A passage that many documents share is paired with
-    the document of the least id among those with the same window (or with one of a few such, where these are many), so that the
-    result grows with the documents that share it and not with their pairs.  Two documents that have the same 50 words in
-    succession are linked, by a passage between them or with documents that share it; passages with differences are found where
-    ``AGREE`` functions have the same ``RUN`` tokens.  Ids must be integers.  Repetition within one document isn't reported.
+    the document of the least id among those with the same seed, so that the result grows with the documents that share it and
+    not with their pairs.  Two documents that have such a passage are linked, by a passage between them or with documents that
+    share it there; none depends on chance.  (A passage holds 14 words in succession that are the same, which is sure unless
+    words repeat so closely that neighbouring tokens match at different shifts.)  Ids must be integers.  Repetition within one
+    document isn't reported.
     Null ids and texts are skipped; rows that repeat an id count as one document; an empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
@@ -370,5 +464,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = near.where("head").select("key", F.struct("a", "wa").alias("w")).distinct()  # two for each task
     heads = heads.join(heads.groupBy("key").agg(F.min("w").alias("m")), "key").where("w <> m").selectExpr("key", "m.a as a", "w.a as b", "m.wa as wa", "w.wa as wb")
     edges = near.where("not head").drop("head").unionByName(stored(heads, "heads"))
-    stars = stored(_verified(rows, edges.where("a <> b").selectExpr("a", "b", "int(key & 7) as fn", "wa", "wb")), "passages")
-    return stars.unionAll(_exact(rows, edges, stars)).distinct()
+    stars = stored(_verified(rows, edges.where("a <> b")), "passages")
+    return stars.unionAll(_verified(rows, _rest(rows, edges, stars))).distinct()
