@@ -57,6 +57,29 @@ def test_ngrams_of_short_documents():
     assert np.diff(at).tolist() == [1, 1, 0, 2] and g[1] == g[3] and g[0] != g[1]
 
 
+def test_workers_give_back_what_they_freed():
+    """Idle workers count as their executor's memory, so a stage mustn't leave them as large as its batches made them."""
+
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) / 1024
+
+    rng = random.Random(3)
+    some = [" ".join(words(rng, 300)) for _ in range(50)]
+
+    def batches():
+        texts = [some[rng.randrange(50)] + f" n{i}" for i in range(8000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts)], ["id", "text"])
+
+    for f in (minhash._sketch, minhash._sets):
+        for _ in f(batches().__iter__()):  # tables that are kept
+            break
+        K._give_back()
+        before = held()
+        assert sum(b.num_rows for b in f(batches())) == 8000
+        assert held() - before < 25
+
+
 # --- quality classifier
 
 

@@ -250,6 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"
 
     def scan(shared: list) -> Callable:
+        @K.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for (a, b), ix in product(K.text_chunks(batch.column(1)), [x.value for x in shared]):
@@ -274,6 +275,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     at = docs.columns.index(text_col)
 
     def clean(shared: list) -> Callable:
+        @K.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

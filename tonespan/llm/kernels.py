@@ -9,7 +9,9 @@ lookups and a multiplication.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function on batches, after whose last one the worker gives back what it freed: idle workers live on and count as the executor's memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def text_chunks(texts: pa.Array, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of about ``target`` bytes; at least one row each."""
     n = len(texts)

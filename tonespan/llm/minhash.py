@@ -71,6 +71,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return acc
 
 
+@K.tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in K.text_chunks(batch.column(1)):
@@ -89,6 +90,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array(whole[some].view(np.int64)), lists], ["id", "content", "bands"])
 
 
+@K.tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in K.text_chunks(batch.column(1)):

@@ -89,6 +89,7 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     return np.where(n > 0, 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(n, 1)) + model.bias, -35, 35))), 0.0)
 
 
+@K.tidy
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def examples() -> Iterator[tuple[np.ndarray, float]]:
         for batch in batches:
@@ -132,6 +133,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.concatenate([score(shared.value, batch.column(1).slice(a, b - a)) for a, b in K.text_chunks(batch.column(1))] or [np.zeros(0)])
@@ -149,6 +151,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     ship(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: Callable = batch.column(at).slice

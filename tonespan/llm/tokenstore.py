@@ -115,6 +115,7 @@ def token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(spark)
     ranks = share_ranks(spark, tokenizer)
 
+    @K.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task, seq = worker_cache(ranks.value, tokenizer, True), TaskContext.get().partitionId(), 0
         keys: list = []
