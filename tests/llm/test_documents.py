@@ -508,6 +508,20 @@ def test_all_links_of_edited_copies_against_brute_force(spark):
     assert len(want) > 80 and classes(passages.repeated_passages(frame(spark, rows)).collect()) == want
 
 
+def test_links_grow_with_the_documents_that_share_a_passage(spark):
+    """Copies that are all edited differently, none of them covered by the least document."""
+    rng = random.Random(24)
+    p, rows = words(rng, 90, 10**6), []
+    for i in range(40):
+        q = list(p[30:52] if i < 2 else p)
+        if i >= 2:
+            q[rng.randrange(5, 25)], q[rng.randrange(60, 85)] = f"new{i}", f"other{i}"
+        rows.append((i, " ".join(words(rng, 40, 10**6) + q + words(rng, 40, 10**6))))
+    got = links(spark, rows)
+    assert classes(got) == dict.fromkeys(range(2, 40), 2)
+    assert len({(r.doc_id, r.other_doc_id) for r in got}) < 5 * len(rows)
+
+
 def test_groups_that_no_task_holds(spark, monkeypatch):
     monkeypatch.setattr(passages, "MANY", 3)
     monkeypatch.setattr(passages, "FEW", 4)

@@ -13,9 +13,9 @@ of documents that lie in each other at one shift make regions; a region is
 verified by matching tokens at about that shift.  A window that no passage so
 verified covers is then held against all others of its group that have enough tokens in
 common with it around the seed; of windows that are the same but for tokens that
-no other one of the group has (a line in all documents), one stands for all.  So
-work and result grow with the windows and with the unlike ones among them, not
-with the pairs of copies.
+no other one of the group has (a line in all documents), one stands for all, and
+windows that others join already aren't tried.  So the result grows with the
+windows, not with the pairs of those that share a passage.
 """
 
 from __future__ import annotations
@@ -308,36 +308,37 @@ def _verified(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _asked_places(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Tokens of a chunk, and of the asked windows (column 2: twice the centre, and 1 if open) centres among them, first and last token of what can match in a region; their keys, ids, windows, and whether they are open."""
+    """Tokens of a chunk, and of the asked windows (column 2: twice the centre, and 1 if open) centres among them, first and last token of what can match in a region; their keys, ids, windows, whether they are open, and labels (column 3)."""
     for s, e in K.text_chunks(batch.column(1)):
         toks, docs = tokens(batch.column(1).slice(s, e - s))
         asked, row = _flat(batch.column(2).slice(s, e - s))
+        label, _ = _flat(batch.column(3).slice(s, e - s))
         centre = docs[row] + (asked >> 1)
         there = centre + RUN <= docs[row + 1]  # rows that repeat an id may be shorter
-        asked, row, centre = (x[there] for x in (asked, row, centre))
+        asked, row, centre, label = (x[there] for x in (asked, row, centre, label))
         codes = (toks >> np.uint64(32)).astype(np.uint32).view(np.int32)
         for k in np.split(np.arange(len(row)), np.arange(5000, len(row), 5000)):
             low, high = np.maximum(centre[k] - _AROUND, docs[row[k]]), np.minimum(centre[k] + _AROUND + 1, docs[row[k] + 1])
-            yield codes, centre[k], low, high, _keys(toks, centre[k]), batch.column(0).take(pa.array(row[k] + s)), _packed(asked[k] >> 1), (asked[k] & 1).astype(bool)
+            yield codes, centre[k], low, high, _keys(toks, centre[k]), batch.column(0).take(pa.array(row[k] + s)), _packed(asked[k] >> 1), (asked[k] & 1).astype(bool), label[k]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, window, open, tokens around) of the asked windows; the tokens are 32-bit numbers, 0 where the document has none."""
+    """(key, id, window, open, label, tokens around) of the asked windows; the tokens are 32-bit numbers, 0 where the document has none."""
     for batch in batches:
-        for codes, centre, low, high, key, ids, win, is_open in _asked_places(batch):
+        for codes, centre, low, high, key, ids, win, is_open, label in _asked_places(batch):
             place = centre[:, None] + np.arange(-_AROUND, _AROUND + 1)
             inside = (place >= low[:, None]) & (place < high[:, None])
             flat = np.where(inside, codes[np.where(inside, place, 0)] | 1, 0).astype(np.int32)
             width = flat.shape[1] * 4
             around = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(0, (len(flat) + 1) * width, width, dtype=np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(win), pa.array(is_open), around], ["key", "id", "win", "open", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(win), pa.array(is_open), pa.array(label), around], ["key", "id", "win", "open", "label", "around"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, id, window, open, place from the centre, token) of the tokens around the asked windows."""
     names = ["key", "id", "win", "open", "off", "token"]
     for batch in batches:
-        for codes, centre, low, high, key, ids, win, is_open in _asked_places(batch):
+        for codes, centre, low, high, key, ids, win, is_open, _ in _asked_places(batch):
             size = high - low
             at = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + low[at]
@@ -345,11 +346,46 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), ids.take(pa.array(at)), *map(pa.array, cols)], names)
 
 
-def likely(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray) -> np.ndarray:
-    """Pairs of rows, one of them open, that can share a passage around the centres of a group's windows: that have enough tokens in common.
-
-    ``around`` has a row of tokens for each window, in order of ids.  Tokens that one row has alone don't count; rows that are the same
-    in all others are each held against one of them, and these among each other.
+def _similar(side_a: np.ndarray, side_b: np.ndarray) -> np.ndarray:
+    """Rows that can share a passage around their centres, as :func:`matched` finds it, except that a token of a may be matched again."""
+    n = 2 * _FAR + 1
+    b = side_b[:, SLACK : SLACK + n]
+    there = b >= 0
+    hit, off = np.zeros(b.shape, bool), np.zeros(b.shape, np.int8)
+    for d in sorted(range(-SLACK, SLACK + 1), key=lambda d: (abs(d), -d)):
+        same = (side_a[:, SLACK + d : SLACK + d + n] == b) & there
+        if d:
+            same &= ~hit
+            off += same * np.int8(d)
+        hit |= same
+    total = np.zeros((len(b), n + 1), np.int16)
+    np.cumsum(hit, axis=1, dtype=np.int16, out=total[:, 1:])
+    good = total[:, MIN_TOKENS:] - total[:, :-MIN_TOKENS] >= SHARE * MIN_TOKENS
+    some = np.flatnonzero(good[:, _FAR - MIN_TOKENS + 1 : _FAR + 1].any(1))
+    good, hit, off, at = good[some], hit[some], off[some], np.arange(n)
+    begin, end = good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1) + MIN_TOKENS
+    hit &= (at >= begin[:, None]) & (at < end[:, None])
+    place = at + off
+    wide = n - 1 - hit[:, ::-1].argmax(1) - hit.argmax(1), np.where(hit, place, -n).max(1) - np.where(hit, place, 2 * n).min(1)
+    out = np.zeros(len(b), bool)
+    out[some[np.maximum(*wide) >= WORDS - GRAM]] = True
+    return out
+
+
+def _same_passage(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two rows of tokens (0 for none) have a passage that holds their centres."""
+    ia, ib = np.flatnonzero(a), np.flatnonzero(b)
+    rows = matched(a[ia], np.zeros(len(ia), np.int64), ia, b[ib], np.zeros(len(ib), np.int64), ib, np.zeros(1, np.int64))
+    long = np.maximum(rows[:, 2] - rows[:, 1], rows[:, 4] - rows[:, 3]) + GRAM >= WORDS
+    return bool((long & (rows[:, 1] <= _AROUND) & (rows[:, 2] >= _AROUND)).any())
+
+
+def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Pairs of rows that share a passage around the centres of a group's windows: enough to join all that such passages join.
+
+    ``around`` has a row of tokens for each window, in order of ids; rows of one label are joined already.  Each open row is held
+    against all others that it isn't joined with by then and that have enough tokens in common with it.  Tokens that one row has
+    alone don't count; rows that are the same in all others count as one.
     """
     none, least = np.zeros((0, 2), np.int64), int(SHARE * MIN_TOKENS)
     inner = slice(_AROUND - _NEAR, _AROUND + _NEAR + 1)
@@ -358,41 +394,86 @@ def likely(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray) -> np.ndarr
     code = code.reshape(around.shape)
     ranked = np.sort(code, axis=1)
     n = np.bincount(ranked[:, 0], minlength=len(known)) + np.bincount(ranked[:, 1:][ranked[:, 1:] != ranked[:, :-1]], minlength=len(known))
-    code = np.where((n[code] > 1) & (around != 0), code, -1)
+    code = np.where((n[code] > 1) & (around != 0), code, -1).astype(np.int32)
     enough = (code[:, inner] >= 0).sum(1) >= least
     row, code = row[enough], code[enough]
     if len(row) < 2 or not is_open[row].any():
         return none
-    _, first, kind = np.unique(np.ascontiguousarray(code.astype(np.int32)).view(f"V{4 * code.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    kind = kind.ravel()
+    _, first, kind = np.unique(np.ascontiguousarray(code).view(f"V{4 * code.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    kind, id_of, code = kind.ravel(), ids[row], code[first]
     some = np.bincount(kind, is_open[row], len(first)) > 0
     last = np.zeros(len(first), np.int64)
     last[kind] = np.arange(len(row))  # rows are in order: the last one stays
-    other = np.where(ids[row] == ids[row[first[kind]]], last[kind], first[kind])
-    copies = np.stack([row, row[other]], axis=1)[(ids[row] != ids[row[other]]) & some[kind]]
+    found: list[tuple[int, int]] = []
+    mark = np.unique(label[row], return_inverse=True)[1].ravel()
+    names = int(mark.max()) + 1
+    joined = np.arange(names + len(first))  # of labels, and of kinds whose rows aren't joined yet
+    name = mark[first]  # of kinds
+    # one row of each label and kind
+    each = np.unique(kind * np.int64(names) + mark, return_index=True)[1]
+    bounds = np.append(np.searchsorted(kind[each], np.arange(len(first))), len(each))
+    passes = np.concatenate([_similar(code[k], code[k]) for k in np.split(np.arange(len(first)), np.arange(2000, len(first), 2000))])
+    whole = (np.diff(bounds) == 1) | passes
+
+    def join(k: int, beside: int | None = None) -> None:
+        """The rows of a kind, each beside a row, or beside another one of the kind."""
+        mine = each[bounds[k] : bounds[k + 1]]
+        other = np.full(len(mine), beside) if beside is not None else np.where(id_of[mine] == id_of[first[k]], last[k], first[k])
+        apart = (id_of[mine] != id_of[other]) & (joined[mark[mine]] != joined[mark[other]])
+        found.extend(zip(mine[apart].tolist(), other[apart].tolist()))
+        joined[np.isin(joined, joined[np.append(mark[mine], name[k])])] = joined[name[k]]
+
+    for k in np.flatnonzero(passes & (np.diff(bounds) > 1)):
+        join(k)
+    name[~whole] = names + np.flatnonzero(~whole)
+    comp = joined[name]
     # counts of common tokens, by lists of the kinds that have a token
-    near = code[first][:, inner]
+    near = code[:, inner]
     owner = np.repeat(np.arange(len(first)), near.shape[1])[near.ravel() >= 0]
-    have = np.unique(near.ravel()[near.ravel() >= 0] * len(first) + owner)
+    have = np.unique(near.ravel()[near.ravel() >= 0].astype(np.int64) * len(first) + owner)
     token, lists = have // len(first), have % len(first)
-    found = [copies]
-    for x in np.flatnonzero(some) if len(first) > 1 else ():
+    for x in np.flatnonzero(some) if comp.min() < comp.max() else ():
         mine, times = np.unique(near[x][near[x] >= 0], return_counts=True)
         begin, end = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
         size = end - begin
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        y = np.flatnonzero(np.bincount(lists[at], np.repeat(times, size), len(first)) >= least)
-        y = y[(ids[row[first[y]]] != ids[row[first[x]]]) & (~some[y] | (y != x))]
-        found.append(np.stack([np.full(len(y), row[first[x]]), row[first[y]]], axis=1))
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        common = np.bincount(lists[at], np.repeat(times, size), len(first))
+        y = np.flatnonzero((common >= least) & (comp != comp[x]))
+        y = y[~some[y] | (y > x)]
+        y, size = y[np.argsort(-common[y], kind="stable")], 16
+        while len(y):
+            now, y = y[:size], y[size:]
+            size = min(4 * size, 4096)
+            # of each pair the row of the greater id is side b
+            p, q = first[x], first[now]
+            q = np.where(id_of[q] == id_of[p], last[now], q)
+            p = np.where(id_of[q] == id_of[p], last[x], p)
+            now, p, q = (v[id_of[p] != id_of[q]] for v in (now, p, q))
+            less = (id_of[p] < id_of[q])[:, None]
+            ok = np.flatnonzero(_similar(np.where(less, code[x], code[now]), np.where(less, code[now], code[x])))
+            for k in ok:
+                if comp[now[k]] != comp[x]:
+                    a, b = sorted((row[p[k]], row[q[k]]))
+                    if _same_passage(around[a], around[b]):
+                        found.append((p[k], q[k]))
+                        for one, beside in ((x, q[k]), (now[k], p[k])):
+                            if not whole[one]:
+                                join(one, beside)
+                                whole[one] = True
+                        joined[joined == joined[name[now[k]]]] = joined[name[x]]
+                        comp = joined[name]
+            y = y[comp[y] != comp[x]]
+    if not found:
+        return none
+    return np.sort(row[np.array(found, np.int64).reshape(-1, 2)], axis=1)
 
 
 def _group(group: pa.Table) -> pa.Table:
-    """Edges of one key's windows (id, win, open, around)."""
-    group = group.select(["id", "win", "open", "around"]).combine_chunks().sort_by([("id", "ascending"), ("win", "ascending")])
-    ids, win, is_open = (group.column(c).to_numpy() for c in ("id", "win", "open"))
+    """Edges of one key's windows (id, win, open, label, around)."""
+    group = group.select(["id", "win", "open", "label", "around"]).combine_chunks().sort_by([("id", "ascending"), ("win", "ascending")])
+    ids, win, is_open, label = (group.column(c).to_numpy() for c in ("id", "win", "open", "label"))
     around = np.frombuffer(b"".join(group.column("around").to_pylist()), np.int32).reshape(len(ids), -1)
-    x, y = likely(around, ids, is_open).T
+    x, y = linked(around, ids, is_open, label).T
     return pa.table({"a": ids[x], "b": ids[y], "wa": win[x], "wb": win[y]})
 
 
@@ -417,18 +498,19 @@ def _rest(rows: DataFrame, edges: DataFrame, passages: DataFrame) -> DataFrame:
     keys = stored(marked.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("some and n > 1").select("key", "n"), "open")
     mine = join_ids(marked, keys, "key", "inner", 40)
     # first windows too: those of a key over several partitions were held against their own partition's only
-    mine = mine.select("key", "n", F.col("b").alias("id"), F.col("wb").alias("win"), "open").unionAll(mine.selectExpr("key", "n", "a", "wa", "false"))
-    others = stored(mine.groupBy("key", "n", "id", "win").agg(F.max("open").alias("open")), "members")
+    # covered windows have the label of the first one, all others their own
+    mine = mine.selectExpr("key", "n", "b as id", "wb as win", "open", "if(open or a = b, xxhash64(b, wb), xxhash64(a, wa)) as label").unionAll(mine.selectExpr("key", "n", "a", "wa", "false", "xxhash64(a, wa)"))
+    others = stored(mine.groupBy("key", "n", "id", "win").agg(F.max("open").alias("open"), F.min_by("label", F.struct("open", F.expr("label = xxhash64(id, win)"))).alias("label")), "members")
     edges = "a bigint, b bigint, wa bigint, wb bigint"
-    asking = lambda some: stored(some.groupBy("id").agg(F.collect_set(F.expr("shiftright(win, 12) * 2 + int(open)")).alias("c")), "asked")
-    around = _asking(rows, asking(others.where(f"n <= {MANY}")), 8).mapInArrow(_contexts, "key bigint, id bigint, win bigint, open boolean, around binary")
-    found = stored(around.groupBy("key").applyInArrow(_group, edges).distinct(), "likely")
+    asking = lambda some: stored(some.groupBy("id").agg(F.collect_set(F.struct(F.expr("shiftright(win, 12) * 2 + int(open)").alias("c"), "label")).alias("s")).select("id", "s.c", "s.label"), "asked")
+    around = _asking(rows, asking(others.where(f"n <= {MANY}")), 16).mapInArrow(_contexts, "key bigint, id bigint, win bigint, open boolean, label bigint, around binary")
+    found = stored(around.groupBy("key").applyInArrow(_group, edges).distinct(), "linked")
     many = others.where(f"n > {MANY}")
     return found if many.isEmpty() else found.unionAll(_rest_of_many(rows, asking(many))).distinct()
 
 
 def _rest_of_many(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """What :func:`likely` does, by joins: for groups that no task should hold."""
+    """Edges to all that :func:`linked` would try, by joins: for groups that no task should hold."""
     around = stored(_asking(rows, asked, 8).mapInArrow(_exploded, "key bigint, id bigint, win bigint, open boolean, off int, token int"), "contexts")
     counts = around.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
     around = stored(around.join(counts, ["key", "token"]), "common")
