@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -528,3 +529,62 @@ def test_groups_that_no_task_holds(spark, monkeypatch):
     test_edited_passages_whose_least_document_holds_parts_only(spark)
     test_an_edited_passage_around_a_line_of_all_documents(spark)
     test_all_links_of_edited_copies_against_brute_force(spark)
+
+
+def rows_of_tokens(rng, n, lots):
+    """Rows of tokens around centres: edited copies of a few texts, some with words that repeat, some at the ends of a document."""
+    text = rng.integers(1, 2**31, (5, 2 * passages._AROUND + 1)).astype(np.int32) | 1
+    text[1:, passages._AROUND - 12 : passages._AROUND + 12] = text[0, passages._AROUND - 12 : passages._AROUND + 12]
+    text[3] = np.resize(text[3, :23], text.shape[1])
+    rows = text[rng.integers(0, 5, n)]
+    for r in rows:
+        for _ in range(rng.integers(0, lots)):
+            k, size = rng.integers(0, len(r)), rng.integers(1, 8)
+            r[k:] = np.concatenate([rng.integers(1, 2**31, size), r[k:]])[: len(r) - k] | 1 if rng.random() < 0.5 else np.resize(r[k : k + size], len(r) - k)
+        if rng.random() < 0.3:
+            r[: rng.integers(0, passages._AROUND)] = 0
+        if rng.random() < 0.3:
+            r[rng.integers(passages._AROUND + 4, len(r)) :] = 0
+    return rows
+
+
+def test_pairs_at_once_are_what_matching_finds():
+    rng = np.random.default_rng(25)
+    rows = rows_of_tokens(rng, 3000, 4)
+    a, b = rows[:1500], rows[1500:]
+    zero, c = lambda i: np.zeros(len(i), np.int64), passages._AROUND
+    want = []
+    for x, y in zip(a, b):
+        i, j = np.flatnonzero(x), np.flatnonzero(y)
+        m = passages.matched(x[i], zero(i), i, y[j], zero(j), j, np.zeros(1, np.int64))
+        want.append(bool(((np.maximum(m[:, 2] - m[:, 1], m[:, 4] - m[:, 3]) + 5 >= 50) & (m[:, 1] <= c) & (m[:, 2] >= c)).any()))
+    want = np.array(want)
+    assert 100 < want.sum() < 1400 and passages._same_passages(a, b).tolist() == want.tolist()
+    assert passages._alike(np.where(a == 0, -1, a), np.where(b == 0, -1, b))[want].all()
+
+
+def test_windows_that_only_seem_alike_take_little_time():
+    """Words that one side repeats and the other has once: many in common, but no passage."""
+    rng, n, c = np.random.default_rng(26), 300, passages._AROUND
+    around = rng.integers(10**6, 10**6 + 3000, (n, 2 * c + 1)).astype(np.int32) | 1
+    base = np.arange(1, 21, 2, dtype=np.int32)
+    around[::2, c : c + 10] = base
+    around[1::2, c - 20 : c + 30] = np.resize(base, 50)
+    spins, began = [], time.process_time()
+    assert len(passages.linked(around, np.arange(n), np.ones(n, bool), np.arange(n))) >= 0
+    took = time.process_time() - began
+    for _ in range(50):
+        began = time.process_time()
+        sum(range(50_000))
+        spins.append(time.process_time() - began)
+    assert took < 550 * float(np.median(spins)), took / np.median(spins)
+
+
+def test_a_passage_that_goes_on_far_from_its_centre():
+    """45 tokens around the centre, 14 changed ones, 49 more: the last ones count too."""
+    rng, c = np.random.default_rng(27), passages._AROUND
+    a, b, other = (rng.integers(1, 2**31, (3, 2 * c + 1)) | 1).astype(np.int32)
+    b[c - 2 : c + 43], b[c + 57 :] = a[c - 2 : c + 43], a[c + 57 :]
+    a[: c - 2] = b[: c - 2] = 0
+    other[c + 43 : c + 57] = a[c + 43 : c + 57]  # else a and b were the same but for tokens that they have alone
+    assert passages.linked(np.stack([a, b, other]), np.arange(3), np.ones(3, bool), np.arange(3)).tolist() == [[0, 1]]

@@ -346,38 +346,75 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), ids.take(pa.array(at)), *map(pa.array, cols)], names)
 
 
-def _similar(side_a: np.ndarray, side_b: np.ndarray) -> np.ndarray:
-    """Rows that can share a passage around their centres, as :func:`matched` finds it, except that a token of a may be matched again."""
+def _alike(side_a: np.ndarray, side_b: np.ndarray) -> np.ndarray:
+    """Rows (-1 for no token) of which a stretch of b that holds the centre has SHARE of its tokens in a, at most SLACK off: no pair that shares a passage lacks it."""
+    far, out = MIN_TOKENS - 1, np.zeros(len(side_a), bool)
+    for k in range(0, len(side_a), 256):  # few enough that what is compared stays in the cache; places by rows, so that a shift is one piece of memory
+        a, b = (np.ascontiguousarray(x[k : k + 256, _AROUND - w : _AROUND + w + 1].T) for x, w in ((side_a, far + SLACK), (side_b, far)))
+        hit, same = a[: len(b)] == b, np.empty(b.shape, bool)
+        for d in range(1, 2 * SLACK + 1):
+            np.equal(a[d : d + len(b)], b, out=same)
+            hit |= same
+        hit &= b >= 0
+        total = np.zeros((len(b) + 1, b.shape[1]), np.int8)
+        np.cumsum(hit, axis=0, dtype=np.int8, out=total[1:])
+        out[k : k + 256] = (total[MIN_TOKENS:] - total[:-MIN_TOKENS]).max(0) >= SHARE * MIN_TOKENS
+    return out
+
+
+def _repeats(code: np.ndarray) -> np.ndarray:
+    """Rows (-1 for no token) that share a passage around their centres with any row that is the same."""
     n = 2 * _FAR + 1
-    b = side_b[:, SLACK : SLACK + n]
-    there = b >= 0
-    hit, off = np.zeros(b.shape, bool), np.zeros(b.shape, np.int8)
-    for d in sorted(range(-SLACK, SLACK + 1), key=lambda d: (abs(d), -d)):
-        same = (side_a[:, SLACK + d : SLACK + d + n] == b) & there
-        if d:
-            same &= ~hit
-            off += same * np.int8(d)
-        hit |= same
-    total = np.zeros((len(b), n + 1), np.int16)
+    hit = code[:, SLACK : SLACK + n] >= 0
+    total = np.zeros((len(hit), n + 1), np.int16)
     np.cumsum(hit, axis=1, dtype=np.int16, out=total[:, 1:])
     good = total[:, MIN_TOKENS:] - total[:, :-MIN_TOKENS] >= SHARE * MIN_TOKENS
-    some = np.flatnonzero(good[:, _FAR - MIN_TOKENS + 1 : _FAR + 1].any(1))
-    good, hit, off, at = good[some], hit[some], off[some], np.arange(n)
     begin, end = good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1) + MIN_TOKENS
+    at = np.arange(n)
     hit &= (at >= begin[:, None]) & (at < end[:, None])
+    return good[:, _FAR - MIN_TOKENS + 1 : _FAR + 1].any(1) & (n - 1 - hit[:, ::-1].argmax(1) - hit.argmax(1) >= WORDS - GRAM)
+
+
+def _same_passages(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of tokens (0 for none) of a have a passage that holds the centres with those of b, as :func:`matched` finds it: all pairs at once."""
+    if len(b) > 256:
+        return np.concatenate([_same_passages(a[k : k + 256], b[k : k + 256]) for k in range(0, len(b), 256)])
+    k, n = b.shape
+    if not k:
+        return np.zeros(0, bool)
+    at, row = np.arange(n), np.arange(k)[:, None]
+    there = b != 0
+    near = sorted(range(-SLACK, SLACK + 1), key=lambda d: (-abs(d), d))  # the nearest one is the last
+    wide, flat = np.zeros((n + 2 * SLACK, k), a.dtype), np.ascontiguousarray(b.T)
+    wide[SLACK:-SLACK] = a.T
+    best, same = np.zeros(flat.shape, np.uint8), np.empty(flat.shape, bool)
+    for rank, d in enumerate(near, 1):
+        np.equal(wide[SLACK + d : SLACK + d + n], flat, out=same)
+        np.maximum(best, same.view(np.uint8) * np.uint8(rank), out=best)
+    best = best.T
+    hit = (best > 0) & there
+    off = np.array([0, *near], np.int64)[best]
+    # each token of a is matched once, by the first one of b
     place = at + off
-    wide = n - 1 - hit[:, ::-1].argmax(1) - hit.argmax(1), np.where(hit, place, -n).max(1) - np.where(hit, place, 2 * n).min(1)
-    out = np.zeros(len(b), bool)
-    out[some[np.maximum(*wide) >= WORDS - GRAM]] = True
-    return out
-
-
-def _same_passage(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two rows of tokens (0 for none) have a passage that holds their centres."""
-    ia, ib = np.flatnonzero(a), np.flatnonzero(b)
-    rows = matched(a[ia], np.zeros(len(ia), np.int64), ia, b[ib], np.zeros(len(ib), np.int64), ib, np.zeros(1, np.int64))
-    long = np.maximum(rows[:, 2] - rows[:, 1], rows[:, 4] - rows[:, 3]) + GRAM >= WORDS
-    return bool((long & (rows[:, 1] <= _AROUND) & (rows[:, 2] >= _AROUND)).any())
+    y, x = (v[::-1] for v in np.nonzero(hit))
+    first = np.zeros(b.shape, np.int16)
+    first[y, place[y, x]] = x  # of those that repeat the last one stays
+    hit[y, x] = first[y, place[y, x]] == x
+    total = np.zeros((k, n + 1), np.int16)
+    np.cumsum(hit, axis=1, dtype=np.int16, out=total[:, 1:])
+    good = (total[:, MIN_TOKENS:] - total[:, :-MIN_TOKENS] >= SHARE * MIN_TOKENS) & there[:, : n - MIN_TOKENS + 1] & there[:, MIN_TOKENS - 1 :]
+    # the union of stretches, none more than MIN_TOKENS from the next, that the centre is in
+    start = np.arange(good.shape[1])
+    last = np.maximum.accumulate(np.where(good, start, -n), axis=1)
+    before = np.concatenate([np.full((k, 1), -n), last[:, :-1]], axis=1)
+    mine = last[:, _AROUND]
+    begin = np.maximum.accumulate(np.where(good & (start - before > MIN_TOKENS), start, 0), axis=1)[row[:, 0], np.maximum(mine, 0)]
+    after = good & (start - before > MIN_TOKENS) & (start > mine[:, None])
+    end = np.where(after.any(1), before[row[:, 0], after.argmax(1)], last[:, -1]) + MIN_TOKENS
+    hit &= (at >= begin[:, None]) & (at < end[:, None])
+    low, high = hit.argmax(1), n - 1 - hit[:, ::-1].argmax(1)
+    least, most = np.where(hit, place, n).min(1), np.where(hit, place, -n).max(1)
+    return (mine > _AROUND - MIN_TOKENS) & (low <= _AROUND) & (high >= _AROUND) & (np.maximum(high - low, most - least) + GRAM >= WORDS)
 
 
 def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -390,11 +427,16 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     none, least = np.zeros((0, 2), np.int64), int(SHARE * MIN_TOKENS)
     inner = slice(_AROUND - _NEAR, _AROUND + _NEAR + 1)
     row = np.arange(len(around))
-    known, code = np.unique(around, return_inverse=True)
-    code = code.reshape(around.shape)
-    ranked = np.sort(code, axis=1)
-    n = np.bincount(ranked[:, 0], minlength=len(known)) + np.bincount(ranked[:, 1:][ranked[:, 1:] != ranked[:, :-1]], minlength=len(known))
-    code = np.where((n[code] > 1) & (around != 0), code, -1).astype(np.int32)
+    # tokens with their places, in one sort
+    each = around.view(np.uint32).ravel().astype(np.uint64) << np.uint64(32) | np.arange(around.size, dtype=np.uint64)
+    each.sort()
+    at = (each & _LOW).astype(np.int64)
+    new = np.append(True, each[1:] >> np.uint64(32) != each[:-1] >> np.uint64(32))
+    rank, of = np.cumsum(new) - 1, at // around.shape[1]
+    n = np.bincount(rank, new | np.append(True, of[1:] != of[:-1]))  # rows that have it
+    code = np.empty(around.size, np.int32)
+    code[at] = np.where(n[rank] > 1, rank, -1)
+    code = np.where(around != 0, code.reshape(around.shape), np.int32(-1))
     enough = (code[:, inner] >= 0).sum(1) >= least
     row, code = row[enough], code[enough]
     if len(row) < 2 or not is_open[row].any():
@@ -412,7 +454,7 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     # one row of each label and kind
     each = np.unique(kind * np.int64(names) + mark, return_index=True)[1]
     bounds = np.append(np.searchsorted(kind[each], np.arange(len(first))), len(each))
-    passes = np.concatenate([_similar(code[k], code[k]) for k in np.split(np.arange(len(first)), np.arange(2000, len(first), 2000))])
+    passes = np.concatenate([_repeats(code[k : k + 2000]) for k in range(0, len(first), 2000)])
     whole = (np.diff(bounds) == 1) | passes
 
     def join(k: int, beside: int | None = None) -> None:
@@ -429,39 +471,39 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     comp = joined[name]
     # counts of common tokens, by lists of the kinds that have a token
     near = code[:, inner]
-    owner = np.repeat(np.arange(len(first)), near.shape[1])[near.ravel() >= 0]
-    have = np.unique(near.ravel()[near.ravel() >= 0].astype(np.int64) * len(first) + owner)
+    owner = np.repeat(np.arange(len(first)), (near >= 0).sum(1))
+    have, times = np.unique(near[near >= 0].astype(np.int64) * len(first) + owner, return_counts=True)
     token, lists = have // len(first), have % len(first)
+    begin = np.searchsorted(token, token)
+    size = np.searchsorted(token, token, "right") - begin
+    mine = np.split(np.argsort(lists, kind="stable"), np.cumsum(np.bincount(lists, minlength=len(first)))[:-1])
     for x in np.flatnonzero(some) if comp.min() < comp.max() else ():
-        mine, times = np.unique(near[x][near[x] >= 0], return_counts=True)
-        begin, end = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
-        size = end - begin
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        common = np.bincount(lists[at], np.repeat(times, size), len(first))
+        few = size[mine[x]]
+        at = np.arange(few.sum()) + np.repeat(begin[mine[x]] - np.cumsum(few) + few, few)
+        common = np.bincount(lists[at], np.repeat(times[mine[x]], few), len(first))
         y = np.flatnonzero((common >= least) & (comp != comp[x]))
         y = y[~some[y] | (y > x)]
-        y, size = y[np.argsort(-common[y], kind="stable")], 16
+        y, part = y[np.argsort(-common[y], kind="stable")], 16
         while len(y):
-            now, y = y[:size], y[size:]
-            size = min(4 * size, 4096)
+            now, y = y[:part], y[part:]
+            part = min(4 * part, 4096)
             # of each pair the row of the greater id is side b
             p, q = first[x], first[now]
             q = np.where(id_of[q] == id_of[p], last[now], q)
             p = np.where(id_of[q] == id_of[p], last[x], p)
             now, p, q = (v[id_of[p] != id_of[q]] for v in (now, p, q))
             less = (id_of[p] < id_of[q])[:, None]
-            ok = np.flatnonzero(_similar(np.where(less, code[x], code[now]), np.where(less, code[now], code[x])))
-            for k in ok:
+            ok = np.flatnonzero(_alike(np.where(less, code[x], code[now]), np.where(less, code[now], code[x])))
+            a, b = row[np.minimum(p[ok], q[ok])], row[np.maximum(p[ok], q[ok])]
+            for k in ok[_same_passages(around[a], around[b])]:
                 if comp[now[k]] != comp[x]:
-                    a, b = sorted((row[p[k]], row[q[k]]))
-                    if _same_passage(around[a], around[b]):
-                        found.append((p[k], q[k]))
-                        for one, beside in ((x, q[k]), (now[k], p[k])):
-                            if not whole[one]:
-                                join(one, beside)
-                                whole[one] = True
-                        joined[joined == joined[name[now[k]]]] = joined[name[x]]
-                        comp = joined[name]
+                    found.append((p[k], q[k]))
+                    for one, beside in ((x, q[k]), (now[k], p[k])):
+                        if not whole[one]:
+                            join(one, beside)
+                            whole[one] = True
+                    joined[joined == joined[name[now[k]]]] = joined[name[x]]
+                    comp = joined[name]
             y = y[comp[y] != comp[x]]
     if not found:
         return none
