@@ -588,3 +588,58 @@ def test_a_passage_that_goes_on_far_from_its_centre():
     a[: c - 2] = b[: c - 2] = 0
     other[c + 43 : c + 57] = a[c + 43 : c + 57]  # else a and b were the same but for tokens that they have alone
     assert passages.linked(np.stack([a, b, other]), np.arange(3), np.ones(3, bool), np.arange(3)).tolist() == [[0, 1]]
+
+
+def _junk(rng, n):
+    """Rows around runs of one word among other runs, each row of a document of its own."""
+    around = np.zeros((n, 2 * passages._AROUND + 1), np.int32)
+    fresh = 1000
+    for row in around:
+        low, high = passages._AROUND - rng.randrange(0, 60) * rng.randrange(2), passages._AROUND + rng.randrange(4, 60)
+        row[low:high] = 1
+        for begin, end, step in ((high, len(row), 1), (low - 1, -1, -1)):
+            at = begin
+            while (at - end) * step < 0:
+                size, word = rng.choice([(4, 0), (25, rng.randrange(1, 9)), (45, rng.randrange(1, 9))])
+                for _ in range(size):
+                    if (at - end) * step < 0:
+                        fresh += 2
+                        row[at] = word * 2 + 1 if word else fresh + 1
+                        at += step
+    return around
+
+
+def test_links_among_runs_of_a_word_against_all_pairs():
+    for seed in range(4):
+        around = _junk(random.Random(seed), 120)
+        n = len(around)
+        x, y = np.triu_indices(n, 1)
+        ok = passages._same_passages(around[x], around[y])
+        got = passages.linked(around, np.arange(n), np.ones(n, bool), np.arange(n))
+        assert components(range(n), got.tolist()) == components(range(n), zip(x[ok].tolist(), y[ok].tolist()))
+
+
+def test_short_runs_of_a_word_are_not_compared_with_each_other(monkeypatch):
+    around = np.zeros((400, 2 * passages._AROUND + 1), np.int32)
+    for k, row in enumerate(around):
+        row[:] = np.arange(len(row)) * 2 + 1001 + 1000 * (k // 2)  # two documents have the rest, so that it counts
+        row[passages._AROUND : passages._AROUND + 31 + k % 13] = 1
+        row[passages._AROUND + 50 :: 2] += 1000 * k
+        row[: passages._AROUND - 10 : 2] += 3000 * k
+    tried, same = [], passages._same_passages
+    monkeypatch.setattr(passages, "_same_passages", lambda a, b: tried.append(len(a)) or same(a, b))
+    passages.linked(around, np.arange(400), np.ones(400, bool), np.arange(400))
+    assert sum(tried) < 4000  # all pairs are 79,800
+
+
+def test_large_groups_are_thinned_to_what_can_match(spark, monkeypatch):
+    rng = random.Random(11)
+    line = words(rng, 12, 10**6)
+    shared = [words(rng, 60, 10**6) for _ in range(4)]
+    rows = [(k, " ".join(words(rng, 40, 10**6) + (shared[k % 4] if k % 3 == 0 else words(rng, 60, 10**6)) + line + words(rng, 40, 10**6))) for k in range(60)]
+    whole = sorted(map(tuple, passages.repeated_passages(frame(spark, rows)).collect()))
+    monkeypatch.setattr(passages, "SOME", 10)
+    sizes, group = [], passages._thinned
+    monkeypatch.setattr(passages, "_thinned", lambda r, m, a: sizes.append((m.count(), (t := group(r, m, a)).count())) or t)
+    assert sorted(map(tuple, passages.repeated_passages(frame(spark, rows)).collect())) == whole
+    assert sizes[0][1] < sizes[0][0]

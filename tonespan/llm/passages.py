@@ -20,7 +20,7 @@ windows, not with the pairs of those that share a passage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ RUN, SPACING = 4, 7
 SLACK, WORDS = 20, 50
 #: Open windows of a group that one task holds; tokens of larger groups are joined where no more than FEW of the windows have them.
 MANY, FEW = 200_000, 32
+#: Windows of a group from which on those without enough common tokens are left out before any task holds it.
+SOME = 50_000
 _FN = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 #: Regions begin and end at multiples of so many tokens: the stretches that are asked of one document are few, however many documents it is held against.
@@ -417,6 +419,84 @@ def _same_passages(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mine > _AROUND - MIN_TOKENS) & (low <= _AROUND) & (high >= _AROUND) & (np.maximum(high - low, most - least) + GRAM >= WORDS)
 
 
+def _sharing(code: np.ndarray, some: np.ndarray) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives, of a row of tokens (-1 for none), those of other components that can share a passage with it, the likeliest first; of two rows with ``some`` the first one gives the other.
+
+    Each token of a row is matched once, so that the k-th one of a row counts with the k-th equal one of another; such
+    elements are ordered by the rows that have them, rare ones first.  Of rows with SHARE * MIN_TOKENS elements in common
+    none but the last SHARE * MIN_TOKENS - 1 of each can be the only ones: the rest of the two has one in common.  So what
+    all rows of a group have isn't looked up.
+
+    Rows whose one common token repeats in one run (junk of one word) share a passage only if the runs lie so that WORDS words match.
+    """
+    least = int(SHARE * MIN_TOKENS)
+    near = code[:, _AROUND - _NEAR : _AROUND + _NEAR + 1]
+    owner, place = np.nonzero(near >= 0)
+    token = near[owner, place].astype(np.int64)
+    order = np.argsort(owner << 32 | token, kind="stable")
+    owner, token = owner[order], token[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1]))
+    at = np.arange(len(token))
+    element, n = np.unique(token << 8 | at - np.maximum.accumulate(np.where(new, at, 0)), return_inverse=True, return_counts=True)[1:]
+    by_rarity = np.empty(len(n), np.int64)
+    by_rarity[np.argsort(n, kind="stable")] = np.arange(len(n))
+    element = by_rarity[element.ravel()]
+    order = np.argsort(owner << 32 | element, kind="stable")
+    element = element[order]  # owner is in order already
+    begin = np.searchsorted(owner, np.arange(len(code) + 1))
+    lead = at < begin[owner + 1] - least + 1
+    order = np.argsort(element[lead], kind="stable")
+    lists, keys = owner[lead][order], element[lead][order]
+    has = np.zeros(len(n), bool)
+    # rows that repeat the centre's token least times: its run at the centre, the next ones beyond it, and whether no other one is in a dense stretch
+    main = code[:, _AROUND]
+    there = (code == main[:, None]) & (main >= 0)[:, None]
+    at, far = np.arange(code.shape[1]), 1 << 20
+    low = np.where(~there & (at <= _AROUND), at, -1).max(1) + 1
+    high = np.where(~there & (at >= _AROUND), at, code.shape[1]).min(1) - 1
+    inside = (at >= low[:, None]) & (at <= high[:, None])
+    before = np.where(there & (at < low[:, None]), at, -far).max(1)
+    after = np.where(there & (at > high[:, None]), at, far).min(1)
+    total, own = (np.cumsum(np.pad(v, ((0, 0), (1, 0))), axis=1, dtype=np.int16) for v in (there, inside))
+    total, own = (v[:, MIN_TOKENS:] - v[:, :-MIN_TOKENS] for v in (total, own))
+    run = (there[:, _AROUND - _NEAR : _AROUND + _NEAR + 1].sum(1) >= least) & ((total < least) | (total == own)).all(1)
+    ran = np.flatnonzero(run)
+    i, j = np.nonzero((code[ran] >= 0) & ~there[ran])
+    other = np.unique(code[ran][i, j].astype(np.int64) << 32 | ran[i])
+    other_token, other_row = other >> 32, other & 0xFFFFFFFF
+    shares = np.zeros(len(code), bool)
+
+    def candidates(x: int, joined: np.ndarray, name: np.ndarray) -> np.ndarray:
+        mine = element[begin[x] : begin[x + 1]]
+        asked = mine[: max(len(mine) - least + 1, 0)]
+        s, e = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
+        y = np.unique(np.concatenate([lists[i:j] for i, j in zip(s.tolist(), e.tolist())])) if len(asked) else np.zeros(0, np.int64)
+        y = y[(joined[name[y]] != joined[name[x]]) & (~some[y] | (y > x))]
+        if run[x]:
+            here = np.unique(code[x][(code[x] >= 0) & (code[x] != main[x])])
+            s, e = np.searchsorted(other_token, here), np.searchsorted(other_token, here, "right")
+            also = np.concatenate([other_row[i:j] for i, j in zip(s.tolist(), e.tolist())]) if len(here) else np.zeros(0, np.int64)
+            shares[also] = True
+            # the first token of the later run is matched by the first one near it of the other
+            miss = MIN_TOKENS - least
+            begins = np.minimum(np.maximum(low[y], low[x] - miss), np.maximum(low[x], low[y] - miss))
+            short = np.minimum(high[x], high[y]) - begins < WORDS - GRAM
+            apart = (np.minimum(after[x] - high[y], after[y] - high[x]) > SLACK) & (np.minimum(low[y] - before[x], low[x] - before[y]) > SLACK)
+            y = y[~(run[y] & (main[y] == main[x]) & ~shares[y] & short & apart)]
+            shares[also] = False
+        if not len(y):
+            return y
+        has[mine] = True
+        size = begin[y + 1] - begin[y]
+        ends = np.cumsum(size)
+        common = np.add.reduceat(has[element[np.arange(ends[-1]) + np.repeat(begin[y] - ends + size, size)]], ends - size, dtype=np.int64)
+        has[mine] = False
+        y, common = y[common >= least], common[common >= least]
+        return y[np.argsort(-common, kind="stable")]
+
+    return candidates
+
+
 def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Pairs of rows that share a passage around the centres of a group's windows: enough to join all that such passages join.
 
@@ -433,7 +513,8 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     at = (each & _LOW).astype(np.int64)
     new = np.append(True, each[1:] >> np.uint64(32) != each[:-1] >> np.uint64(32))
     rank, of = np.cumsum(new) - 1, at // around.shape[1]
-    n = np.bincount(rank, new | np.append(True, of[1:] != of[:-1]))  # rows that have it
+    new = new | np.append(True, ids[of[1:]] != ids[of[:-1]])
+    n = np.bincount(rank, new)  # documents that have it: what one has alone matches nothing of another's
     code = np.empty(around.size, np.int32)
     code[at] = np.where(n[rank] > 1, rank, -1)
     code = np.where(around != 0, code.reshape(around.shape), np.int32(-1))
@@ -449,7 +530,8 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     found: list[tuple[int, int]] = []
     mark = np.unique(label[row], return_inverse=True)[1].ravel()
     names = int(mark.max()) + 1
-    joined = np.arange(names + len(first))  # of labels, and of kinds whose rows aren't joined yet
+    joined = np.arange(names + len(first))  # components of labels, and of kinds whose rows aren't joined yet
+    of_comp = {k: [k] for k in range(len(joined))}
     name = mark[first]  # of kinds
     # one row of each label and kind
     each = np.unique(kind * np.int64(names) + mark, return_index=True)[1]
@@ -457,54 +539,46 @@ def linked(around: np.ndarray, ids: np.ndarray, is_open: np.ndarray, label: np.n
     passes = np.concatenate([_repeats(code[k : k + 2000]) for k in range(0, len(first), 2000)])
     whole = (np.diff(bounds) == 1) | passes
 
+    def merge(p: int, q: int) -> None:
+        """The smaller component goes into the other one."""
+        p, q = sorted((int(joined[p]), int(joined[q])), key=lambda c: len(of_comp[c]))
+        if p != q:
+            joined[of_comp[p]] = q
+            of_comp[q] += of_comp.pop(p)
+
     def join(k: int, beside: int | None = None) -> None:
         """The rows of a kind, each beside a row, or beside another one of the kind."""
         mine = each[bounds[k] : bounds[k + 1]]
         other = np.full(len(mine), beside) if beside is not None else np.where(id_of[mine] == id_of[first[k]], last[k], first[k])
         apart = (id_of[mine] != id_of[other]) & (joined[mark[mine]] != joined[mark[other]])
         found.extend(zip(mine[apart].tolist(), other[apart].tolist()))
-        joined[np.isin(joined, joined[np.append(mark[mine], name[k])])] = joined[name[k]]
+        for m in mark[mine].tolist():
+            merge(m, name[k])
 
     for k in np.flatnonzero(passes & (np.diff(bounds) > 1)):
         join(k)
     name[~whole] = names + np.flatnonzero(~whole)
-    comp = joined[name]
-    # counts of common tokens, by lists of the kinds that have a token
-    near = code[:, inner]
-    owner = np.repeat(np.arange(len(first)), (near >= 0).sum(1))
-    have, times = np.unique(near[near >= 0].astype(np.int64) * len(first) + owner, return_counts=True)
-    token, lists = have // len(first), have % len(first)
-    begin = np.searchsorted(token, token)
-    size = np.searchsorted(token, token, "right") - begin
-    mine = np.split(np.argsort(lists, kind="stable"), np.cumsum(np.bincount(lists, minlength=len(first)))[:-1])
-    for x in np.flatnonzero(some) if comp.min() < comp.max() else ():
-        few = size[mine[x]]
-        at = np.arange(few.sum()) + np.repeat(begin[mine[x]] - np.cumsum(few) + few, few)
-        common = np.bincount(lists[at], np.repeat(times[mine[x]], few), len(first))
-        y = np.flatnonzero((common >= least) & (comp != comp[x]))
-        y = y[~some[y] | (y > x)]
-        y, part = y[np.argsort(-common[y], kind="stable")], 16
+    candidates = _sharing(code, some)
+    for x in np.flatnonzero(some) if len(np.unique(joined[name])) > 1 else ():
+        y, part = candidates(x, joined, name), 256
         while len(y):
             now, y = y[:part], y[part:]
             part = min(4 * part, 4096)
-            # of each pair the row of the greater id is side b
-            p, q = first[x], first[now]
-            q = np.where(id_of[q] == id_of[p], last[now], q)
-            p = np.where(id_of[q] == id_of[p], last[x], p)
-            now, p, q = (v[id_of[p] != id_of[q]] for v in (now, p, q))
+            # of each pair the row of the greater id is side b; kinds of several documents can have it on either side
+            p, q = np.repeat([first[x], last[x]], len(now)), np.concatenate([last[now], first[now]])
+            now, p, q = (v[np.where(np.arange(len(p)) < len(now), id_of[p] < id_of[q], id_of[p] > id_of[q])] for v in (np.tile(now, 2), p, q))
             less = (id_of[p] < id_of[q])[:, None]
             ok = np.flatnonzero(_alike(np.where(less, code[x], code[now]), np.where(less, code[now], code[x])))
             a, b = row[np.minimum(p[ok], q[ok])], row[np.maximum(p[ok], q[ok])]
             for k in ok[_same_passages(around[a], around[b])]:
-                if comp[now[k]] != comp[x]:
+                if joined[name[now[k]]] != joined[name[x]]:
                     found.append((p[k], q[k]))
                     for one, beside in ((x, q[k]), (now[k], p[k])):
                         if not whole[one]:
                             join(one, beside)
                             whole[one] = True
-                    joined[joined == joined[name[now[k]]]] = joined[name[x]]
-                    comp = joined[name]
-            y = y[comp[y] != comp[x]]
+                    merge(name[now[k]], name[x])
+            y = y[joined[name[y]] != joined[name[x]]]
     if not found:
         return none
     return np.sort(row[np.array(found, np.int64).reshape(-1, 2)], axis=1)
@@ -545,12 +619,27 @@ def _rest(rows: DataFrame, edges: DataFrame, passages: DataFrame) -> DataFrame:
     others = stored(mine.groupBy("key", "n", "id", "win").agg(F.max("open").alias("open"), F.min_by("label", F.struct("open", F.expr("label = xxhash64(id, win)"))).alias("label")), "members")
     edges = "a bigint, b bigint, wa bigint, wb bigint"
     asking = lambda some: stored(some.groupBy("id").agg(F.collect_set(F.struct(F.expr("shiftright(win, 12) * 2 + int(open)").alias("c"), "label")).alias("s")).select("id", "s.c", "s.label"), "asked")
+    others = _thinned(rows, others, asking)
     around = _asking(rows, asking(others.where(f"n <= {MANY}")), 16).mapInArrow(_contexts, "key bigint, id bigint, win bigint, open boolean, label bigint, around binary")
     found = stored(around.groupBy("key").applyInArrow(_group, edges).distinct(), "linked")
     many = others.where(f"n > {MANY}")
     return found if many.isEmpty() else found.unionAll(_rest_of_many(rows, asking(many))).distinct()
 
 
+def _thinned(rows: DataFrame, members: DataFrame, asking: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The members, of large groups only those that have enough tokens around their centres in common with other documents, as :func:`linked` would leave the rest out."""
+    large = members.where(f"n > {SOME}")
+    if large.isEmpty():
+        return members
+    around = _asking(rows, asking(large), 8).mapInArrow(_exploded, "key bigint, id bigint, win bigint, open boolean, off int, token int")
+    around = stored(around.selectExpr("key", "id", "win", "off", "token | 1 as token"), "around")
+    common = around.groupBy("key", "token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "token")
+    enough = around.where(f"abs(off) <= {_NEAR}").join(common, ["key", "token"]).groupBy("key", "id", "win").count().where(f"count >= {int(SHARE * MIN_TOKENS)}")
+    kept = stored(large.drop("n").join(enough.drop("count"), ["key", "id", "win"]), "kept")
+    sizes = kept.groupBy("key").agg(F.count("*").alias("n"))
+    return stored(members.where(f"n <= {SOME}").unionByName(kept.join(F.broadcast(sizes), "key")), "thinned")
+
+
 def _rest_of_many(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Edges to all that :func:`linked` would try, by joins: for groups that no task should hold."""
     around = stored(_asking(rows, asked, 8).mapInArrow(_exploded, "key bigint, id bigint, win bigint, open boolean, off int, token int"), "contexts")
