@@ -334,3 +334,17 @@ def test_warnings_are_off_by_default(made):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         made.subset("date >= date'2000-01-01'")
+
+
+def test_an_update_scores_each_text_once(spark):
+    from tonespan.plans import base, catalog
+
+    got = catalog.QUERIES["f3_update_texts"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2  # the documents of before, and the new ones
+    whole = base.corpus(spark, "/root/testdata/sf0.001").select("id", "date", "texts")
+    part = P.measures(whole.where("id % 2 = 0"), base.lexicons(), A.Aggregation(by="month"))
+    again = part.update(whole, base.lexicons()).update(whole, base.lexicons())
+    assert again.sentiment.count() == 2 * whole.count()
+    with pytest.raises(ValueError, match="lexicons"):
+        part.subset(delete=["lexB"]).update(whole, base.lexicons())

@@ -136,13 +136,17 @@ def filled(panel: DataFrame, by: str, fill: str = "zero", before: str | None = N
     if fill not in ("zero", "latest"):
         raise ValueError("fill must be 'zero' or 'latest'")
     keys = series_of(panel)
-    low, high = F.min("date"), F.max("date")
+    # one reading of the panel, which may be made from texts: a row for each series, with its values by date
+    there = F.when(F.col("date").isNotNull(), F.struct("date", "value"))
+    series = panel.groupBy(*keys).agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"), F.map_from_entries(F.collect_list(there)).alias("__v"))
+    everyone = Window.partitionBy()
+    low, high = F.min("__lo").over(everyone), F.max("__hi").over(everyone)
     if before is not None:
         low = F.least(low, period(F.lit(before).cast("date"), by))
     if after is not None:
         high = F.greatest(high, period(F.lit(after).cast("date"), by))
-    grid = panel.agg(low.alias("lo"), high.alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr(_STEP[by]))).alias("date"))
-    full = grid.crossJoin(panel.select(*keys).distinct()).join(panel, ["date", *keys], "left")
+    series = series.select(*keys, "__v", low.alias("__lo"), high.alias("__hi")).where("__lo is not null")
+    full = series.select(F.explode(F.sequence("__lo", "__hi", F.expr(_STEP[by]))).alias("date"), *keys, "__v").select("date", *keys, F.col("__v")[F.col("date")].alias("value"))
     if fill == "zero":
         return full.withColumn("value", F.coalesce("value", F.lit(0.0)))
     w = Window.partitionBy(*keys).orderBy("date")

@@ -212,6 +212,9 @@ class Measures:
     control: Aggregation
     #: (dimension, name, members) of the groups that were made, in their order.
     groups: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
+    #: Ids of the documents and names of the lexicons, where they are known without scoring a text.
+    ids: DataFrame | None = None
+    lexicons: tuple[str, ...] | None = None
 
     @cached_property
     def time_weights(self) -> dict[str, list[float]]:
@@ -254,7 +257,7 @@ class Measures:
         return out
 
     def with_panel(self, panel: DataFrame) -> Measures:
-        return replace(self, panel=panel)
+        return replace(self, panel=panel, lexicons=None)
 
     def keep(self) -> Measures:
         """Caches the panel when it is first made: it is small, and steps that read it several times then don't score the texts again."""
@@ -295,7 +298,7 @@ class Measures:
     def aggregate(self, lexicons: Mapping | None = None, features: Mapping | None = None, time: Mapping | None = None, keep: bool = False) -> Measures:
         check_groups(self.panel, lexicons=lexicons, features=features, time=time)
         made = tuple((dim, name, tuple(m)) for dim, given in (("feature", features), ("lexicon", lexicons), ("time", time)) for name, m in (given or {}).items())
-        return replace(self, panel=grouped(self.panel, lexicons, features, time, keep), groups=self.groups + made)
+        return replace(self, panel=grouped(self.panel, lexicons, features, time, keep), groups=self.groups + made, lexicons=None)
 
     def fill(self, fill: str = "zero", before: str | None = None, after: str | None = None) -> Measures:
         return self.with_panel(A.filled(self.panel, self.control.by, fill, before, after))
@@ -310,11 +313,16 @@ class Measures:
         return A.peaks(self.panel, "date", "value", n, kind, average)
 
     def update(self, corpus: DataFrame, lexicons: Lexicons) -> Measures:
-        """Scores the documents whose ids are new and aggregates again; the lexicons must be the same."""
-        if set(self.dimensions()["lexicons"]) != set(lexicons):
+        """Scores the documents whose ids are new and aggregates again; the lexicons must be the same.
+
+        Which ids and lexicons there are is asked of the scores only where the corpus doesn't tell: no text is scored for it.
+        """
+        if set(self.dimensions()["lexicons"] if self.lexicons is None else self.lexicons) != set(lexicons):
             raise ValueError("the lexicons are not those of the panel")
-        scored = sentiment(corpus.join(self.sentiment.select("id").distinct(), "id", "left_anti"), lexicons, self.control.within, self.control.sentence, self.control.tokens, feature_names(corpus) or None)
-        return aggregate(self.sentiment.unionByName(to_documents(scored, self.control)), self.control)
+        known = self.sentiment.select("id").distinct() if self.ids is None else self.ids
+        scored = sentiment(corpus.join(known, "id", "left_anti"), lexicons, self.control.within, self.control.sentence, self.control.tokens, feature_names(corpus) or None)
+        out = aggregate(self.sentiment.unionByName(to_documents(scored, self.control)), self.control)
+        return out if self.ids is None else replace(out, ids=self.ids.unionAll(corpus.select("id")), lexicons=tuple(lexicons))
 
     def updated(self, scored: DataFrame) -> Measures:
         """The same from sentiment of documents; those whose ids are known already are left out."""
@@ -349,4 +357,6 @@ def measures(corpus: DataFrame, lexicons: Lexicons | Mapping[str, Lexicons], con
     """From texts to the panel; component names are checked before anything runs."""
     names = [n for lex in lexicons.values() for n in lex] if not isinstance(lexicons, Lexicons) else list(lexicons)
     A.check_component_names(names, [c for c in feature_names(corpus) if c != control.tokens] or ["dummyFeature"], list(control.time_weights()))
-    return aggregate(sentiment(corpus, lexicons, control.within, control.sentence, control.tokens), control)
+    made = aggregate(sentiment(corpus, lexicons, control.within, control.sentence, control.tokens), control)
+    # a document without a sentence has no scores by sentence
+    return made if control.sentence else replace(made, ids=corpus.select("id"), lexicons=tuple(names))
