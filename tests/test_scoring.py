@@ -253,3 +253,16 @@ def test_sentences_have_ids(spark):
     df = spark.createDataFrame([("1", "Good day. Bad, not good. X 1"), ("2", ""), ("3", None)], "id string, texts string")
     got = sentiment(df, CLUSTERS, "counts", sentence=True).orderBy("id", "sentence_id").collect()
     assert [(r.id, r.sentence_id, r.word_count) for r in got] == [("1", 1, 2.0), ("1", 2, 4.0), ("1", 3, 1.0)]
+
+
+def test_large_files_are_spread_in_small_parts(spark, tmp_path, monkeypatch):
+    from tonespan import session
+
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("texts"))
+    rows.repartition(8).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "SPREAD_EACH", 20_000)  # 8 files of 4 cores, but larger than that
+    got = session.spread(table)
+    assert got.rdd.getNumPartitions() > 8 and sorted(got.collect()) == sorted(table.collect())
+    monkeypatch.setattr(session, "SPREAD_EACH", 64 << 20)
+    assert session.spread(table).rdd.getNumPartitions() <= 8

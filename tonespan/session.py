@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes for each core, and in all, up to which a table in few files is spread over the cores.
-SPREAD_EACH, SPREAD_ALL = 64 << 20, 4 << 30
+#: Bytes of a file (or of the table, by task) up to which a text table is one task's: scoring takes much more time than reading.
+SPREAD_EACH = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -46,13 +46,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, key: str = "id") -> DataFrame:
-    """df over all cores if it is a small table in fewer files than cores: a file of one row group would be one task.
+    """df over all cores, in parts that are small however large its files are: a row group would be one task.
 
-    Anything larger, or in more files, has splits enough and isn't moved; neither are streams and frames without files.
+    Tables in many small files have splits enough and aren't moved; neither are streams and frames without files.
     """
     if df.isStreaming:
         return df
     cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
-    if not 0 < files < cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > min(cores * SPREAD_EACH, SPREAD_ALL):
+    if not files:
         return df
-    return df.repartition(2 * cores, key)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # of a join the estimate would be a product
+    size = min(size, int(str(plan.stats().sizeInBytes())))
+    parts = -(-size // SPREAD_EACH)
+    return df if files >= max(cores, parts) else df.repartition(max(parts, 2 * cores), key)
