@@ -266,3 +266,5 @@ def test_large_files_are_spread_in_small_parts(spark, tmp_path, monkeypatch):
     assert got.rdd.getNumPartitions() > 8 and sorted(got.collect()) == sorted(table.collect())
     monkeypatch.setattr(session, "SPREAD_EACH", 64 << 20)
     assert session.spread(table).rdd.getNumPartitions() <= 8
+    monkeypatch.setattr(session, "SPREAD_EACH", 20_000)
+    assert session.spread(got.select("id", F.upper("texts").alias("texts")))._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1

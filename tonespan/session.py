@@ -56,6 +56,8 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     if not files:
         return df
     plan = df._jdf.queryExecution().optimizedPlan()
+    if "RepartitionByExpression" in plan.toString():  # it is spread already: tokens needn't move too
+        return df
     leaves = plan.collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # of a join the estimate would be a product
     size = min(size, int(str(plan.stats().sizeInBytes())))
